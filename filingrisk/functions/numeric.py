@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 _INF = float("inf")
 
 
+def finite_sql(expr: str) -> str:
+    """SQL for a double where text, NaN and infinities are NULL."""
+    number = f"try_cast({expr} AS DOUBLE)"
+    return f"nanvl(nullif(nullif({number}, double('Infinity')), double('-Infinity')), double(NULL))"
+
+
+def safe_div_sql(num: str, den: str) -> str:
+    """SQL for num / den; NULL for missing operands, a zero denominator or overflow."""
+    return finite_sql(f"try_divide({num}, {den})")
+
+
 def finite(col: Column) -> Column:
-    """A double where NaN and infinities are NULL."""
+    """A double where text, NaN and infinities are NULL."""
     value = col.try_cast("double")
     return F.when(F.isnan(value) | (F.abs(value) == _INF), None).otherwise(value)
 

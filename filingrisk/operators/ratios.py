@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingrisk.functions.numeric import finite, log1p_floor0, safe_div
+from filingrisk.functions.numeric import finite, finite_sql, log1p_floor0, safe_div_sql
 from filingrisk.operators.ordered import running_totals, with_previous_rows
 from filingrisk.operators.roles import resolve_concepts
 from filingrisk.policy import INDUSTRY_MIN_PEERS, INDUSTRY_RATIOS, TREND_RATIOS
@@ -27,52 +27,44 @@ _Z_WEIGHTS = {"working": 1.2, "retained": 1.4, "ebit": 3.3, "equity": 0.6, "sale
 
 def base_ratios(df: DataFrame) -> dict[str, Column]:
     """The level ratios that the available concepts allow."""
-    names = resolve_concepts(df)
+    v = {c: finite_sql(f"`{name}`") for c, name in resolve_concepts(df).items()}
 
     def has(*concepts: str) -> bool:
-        return all(c in names for c in concepts)
-
-    def v(concept: str) -> Column:
-        return finite(F.col(f"`{names[concept]}`"))
+        return all(c in v for c in concepts)
 
     out = {
-        name: safe_div(v(num), v(den))
+        name: safe_div_sql(v[num], v[den])
         for name, (num, den) in _SIMPLE_RATIOS.items()
         if has(num, den)
     }
     if has("long_term_debt", "equity"):
-        debt = v("long_term_debt")
+        debt = v["long_term_debt"]
         if has("debt_in_current"):
-            short = v("debt_in_current")
             # Either part may be missing, not both.
-            debt = F.coalesce(debt + short, debt, short)
-        out["fin_debt_to_equity"] = safe_div(debt, v("equity"))
+            debt = f"coalesce({debt} + {v['debt_in_current']}, {debt}, {v['debt_in_current']})"
+        out["fin_debt_to_equity"] = safe_div_sql(debt, v["equity"])
     if has("current_assets", "current_liabilities", "inventory"):
-        out["fin_quick_ratio"] = safe_div(
-            v("current_assets") - v("inventory"), v("current_liabilities")
-        )
+        quick = f"{v['current_assets']} - {v['inventory']}"
+        out["fin_quick_ratio"] = safe_div_sql(quick, v["current_liabilities"])
     if has("current_assets", "current_liabilities", "total_assets"):
-        out["fin_wc_to_assets"] = safe_div(
-            v("current_assets") - v("current_liabilities"), v("total_assets")
-        )
+        working = f"{v['current_assets']} - {v['current_liabilities']}"
+        out["fin_wc_to_assets"] = safe_div_sql(working, v["total_assets"])
     if has("total_assets"):
-        out["fin_log_assets"] = log1p_floor0(v("total_assets"))
+        assets = v["total_assets"]
+        # greatest() skips NULL, so a missing value is kept apart.
+        out["fin_log_assets"] = f"if({assets} IS NULL, NULL, log1p(greatest({assets}, 0D)))"
     if {"fin_wc_to_assets", "fin_re_to_assets", "fin_asset_turnover"} <= out.keys():
-        missing = F.lit(None).cast("double")
         parts = {
             "working": out["fin_wc_to_assets"],
             "retained": out["fin_re_to_assets"],
-            "ebit": safe_div(v("ebit"), v("total_assets")) if has("ebit") else missing,
-            "equity": safe_div(v("equity"), v("total_liabilities"))
+            "ebit": safe_div_sql(v["ebit"], v["total_assets"]) if has("ebit") else "double(NULL)",
+            "equity": safe_div_sql(v["equity"], v["total_liabilities"])
             if has("equity", "total_liabilities")
-            else missing,
+            else "double(NULL)",
             "sales": out["fin_asset_turnover"],
         }
-        score = F.lit(0.0)
-        for part, value in parts.items():
-            score = score + F.lit(_Z_WEIGHTS[part]) * value
-        out["fin_altman_z"] = score
-    return out
+        out["fin_altman_z"] = " + ".join(f"{_Z_WEIGHTS[k]}D * {e}" for k, e in parts.items())
+    return {name: F.expr(text) for name, text in out.items()}
 
 
 def add_trends(
@@ -124,10 +116,10 @@ def industry_group(sic: Column) -> Column:
     return F.when(code >= 1000, F.floor(code / 100)).otherwise(F.floor(code / 10))
 
 
-def add_industry_percentiles(
+def industry_percentiles(
     df: DataFrame, *, row_id: str = "doc_id", peers: DataFrame | None = None
-) -> tuple[DataFrame, list[str]]:
-    """Average-rank percentile of four ratios within industry and year.
+) -> tuple[DataFrame | None, list[str]]:
+    """(row_id, percentiles): average rank of four ratios within industry and year.
 
     NULL for fewer than five values in the cell, and for rows without a value,
     industry or year. `peers` (sic, fyear and the ratios) widens the comparison
@@ -136,7 +128,7 @@ def add_industry_percentiles(
     bases = [b for b in INDUSTRY_RATIOS if b in df.columns]
     names = [f"{b}_sic_pct" for b in bases]
     if not bases or not {"sic", "fyear"} <= set(df.columns):
-        return df, []
+        return None, []
     cell = ["ratio", "sic2", "fyear"]
 
     def melted(source: DataFrame, *keep: str) -> DataFrame:
@@ -177,7 +169,15 @@ def add_industry_percentiles(
             ]
         )
     )
-    return df.drop(*names).join(per_row, row_id, "left"), names
+    return per_row, names
+
+
+def add_industry_percentiles(
+    df: DataFrame, *, row_id: str = "doc_id", peers: DataFrame | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Adds the industry percentiles to every row."""
+    per_row, names = industry_percentiles(df, row_id=row_id, peers=peers)
+    return (df if per_row is None else df.join(per_row, row_id, "left")), names
 
 
 def missing_flags(names: list[str]) -> dict[str, Column]:
@@ -203,16 +203,18 @@ def add_financial_features(
     move whole rows.
     """
     levels = base_ratios(df)
-    out = df.withColumns(levels) if levels else df
+    out = base = df.withColumns(levels) if levels else df
     names = list(levels)
-    # The level ratios are built once, then read by every later step.
     if include_trends and {"cik", "fyear"} <= set(df.columns):
         out, trends = add_trends(out, row_id=row_id, strict_years=strict_years)
         names += trends
     if include_industry:
         if peers is not None:
             peers = peers.withColumns(base_ratios(peers))
-        out, percentiles = add_industry_percentiles(out, row_id=row_id, peers=peers)
+        # From the level ratios, so the trend windows are not part of this branch.
+        per_row, percentiles = industry_percentiles(base, row_id=row_id, peers=peers)
+        if per_row is not None:
+            out = out.join(per_row, row_id, "left")
         names += percentiles
     if include_missing and names:
         flags = missing_flags(names)
