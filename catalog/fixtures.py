@@ -83,7 +83,7 @@ RAW_FILINGS = """
 select doc_id as line_no, cast(doc_id % 300 as string) as cik, concat('Firm ', cast(doc_id % 300 as string)) as name,
   cast(1000 + doc_id % 97 as string) as sic, '10-K' as filing_type,
   concat(cast(1 + doc_id % 31 as string), '-', cast(1 + doc_id % 12 as string), '-', cast(2001 + doc_id % 8 as string)) as filing_date,
-  concat('31-12-', cast(2000 + (doc_id % 2400 - doc_id % 300) / 300 as string)) as reporting_date,
+  concat('31-12-', cast(cast(2000 + (doc_id % 2400 - doc_id % 300) / 300 as int) as string)) as reporting_date,
   text as mda
 from {documents}
 """
