@@ -11,6 +11,7 @@ from filingrisk.operators import facts as fct
 from filingrisk.operators import panel, ratios
 from filingrisk.operators.roles import resolve_concepts
 from filingrisk.policy import CONCEPTS
+from filingrisk.session import materialise
 from filingrisk.sources.facts import flatten_facts
 
 
@@ -141,7 +142,8 @@ TREND_NAMES = [f"fin_{k}_{t}" for t in TRENDS for k in ("d", "vol3")] + ["fin_d_
     + " from t",
 )
 def _(w):
-    levels = w.firm_years.withColumns(ratios.base_ratios(w.firm_years))
+    rows = w.stored_firm_years
+    levels = rows.withColumns(ratios.base_ratios(rows))
     out, names = ratios.add_trends(levels)
     return out.select("doc_id", *_rounded(names))
 
@@ -169,7 +171,8 @@ def _pct_sql(source: str, named: str = "q") -> str:
     + " from q",
 )
 def _(w):
-    levels = w.firm_years.withColumns(ratios.base_ratios(w.firm_years))
+    rows = w.stored_firm_years
+    levels = rows.withColumns(ratios.base_ratios(rows))
     out, names = ratios.add_industry_percentiles(levels)
     return out.select("doc_id", *_rounded(names))
 
@@ -199,7 +202,7 @@ def _(w):
     + " from q",
 )
 def _(w):
-    out, names = ratios.add_financial_features(w.firm_years)
+    out, names = ratios.add_financial_features(w.stored_firm_years)
     return out.select("doc_id", *_rounded(names))
 
 
@@ -376,6 +379,6 @@ _FEATURE_SUMS = ", ".join(f"round(avg({n}), 6) as {n}" for n in ALL_FEATURES)
     select fyear, {_FEATURE_SUMS} from q group by fyear""",
 )
 def _(w):
-    kept = panel.from_year(training_rows(w), MIN_FYEAR)
+    kept = materialise(panel.from_year(training_rows(w), MIN_FYEAR))
     out, _names = ratios.add_financial_features(kept, include_missing=False)
     return out.groupBy("fyear").agg(*[F.round(F.avg(n), 6).alias(n) for n in ALL_FEATURES])

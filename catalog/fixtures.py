@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from filingrisk.policy import ITEM_CODES
-from filingrisk.session import configure
+from filingrisk.session import configure, materialise
 
 SWITCH = date(1998, 1, 1)
 MIN_FYEAR = 1996
@@ -138,6 +138,11 @@ class World:
     def firm_years(self) -> DataFrame:
         return self._view("fx_firm_year")
 
+    @cached_property
+    def stored_firm_years(self) -> DataFrame:
+        """The firm-years computed once, for operators that read them repeatedly."""
+        return materialise(self.firm_years)
+
     @cached_property
     def events(self) -> DataFrame:
         return self._view("fx_events")

@@ -11,7 +11,7 @@ from catalog.fixtures import World
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
-AREAS = ("sources", "labels", "features", "texts", "evaluation", "splits", "scores", "models")
+AREAS = ("sources", "labels", "features", "texts", "evaluation", "splits", "scores", "models", "flagship")
 
 
 def query(name: str, sql: str | None = None):

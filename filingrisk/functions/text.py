@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingrisk import policy
-from filingrisk.functions.numeric import clamp
 from filingrisk.schemas import PROFILE
 
 # The clean-up and token patterns.
@@ -72,8 +71,9 @@ def prepare_text(
 
 
 def text_hash(col: Column) -> Column:
-    """First 32 hex digits of the SHA-256 of the text."""
-    return F.substring(F.sha2(col.cast("binary"), 256), 1, 32)
+    """First 32 hex digits of the SHA-256 of the text; '' for a missing text."""
+    # Never NULL, so joins on it need no filter that would clean every text twice.
+    return F.coalesce(F.substring(F.sha2(col.cast("binary"), 256), 1, 32), F.lit(""))
 
 
 def words(col: Column) -> Column:
@@ -84,6 +84,11 @@ def sentences(col: Column) -> Column:
     return F.filter(F.split(col, SENTENCE_GAP), lambda s: s.rlike(NOT_BLANK))
 
 
+def _between(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """Limit a value that is never NULL; the expression appears once, so it runs once."""
+    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+
+
 def _in_list(tokens: Column, terms: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: t.isin(*terms))
 
@@ -94,8 +99,9 @@ def hedge_density(tokens: Column) -> Column:
     return F.try_divide(F.lit(100.0) * F.size(_in_list(tokens, policy.HEDGE_WORDS)), n)
 
 
+# The scores below are for texts with at least one token.
 def vagueness(tokens: Column) -> Column:
-    return clamp(hedge_density(tokens) / 5.0)
+    return _between(hedge_density(tokens) / 5.0)
 
 
 def redundancy(tokens: Column) -> Column:
@@ -103,15 +109,15 @@ def redundancy(tokens: Column) -> Column:
     n = F.size(tokens)
     triples = F.transform(
         F.sequence(F.lit(0), n - 3),
-        lambda i: F.concat_ws(
-            " ", F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)
+        lambda i: F.concat(
+            F.get(tokens, i), F.lit(" "), F.get(tokens, i + 1), F.lit(" "), F.get(tokens, i + 2)
         ),
     )
     repeated = F.when(
         n >= 3, F.lit(1.0) - F.size(F.array_distinct(triples)) / F.greatest(n - 2, F.lit(1))
     ).otherwise(0.0)
     variety = F.try_divide(F.size(F.array_distinct(tokens)).cast("double"), n)
-    return clamp(F.lit(3.0) * repeated + F.lit(0.5) * (F.lit(1.0) - variety))
+    return _between(F.lit(3.0) * repeated + F.lit(0.5) * (F.lit(1.0) - variety))
 
 
 def complexity(tokens: Column, n_sentences: Column) -> Column:
@@ -119,8 +125,8 @@ def complexity(tokens: Column, n_sentences: Column) -> Column:
     n = F.size(tokens)
     length = n / n_sentences
     long_share = F.try_divide(F.size(F.filter(tokens, lambda t: F.length(t) >= 9)).cast("double"), n)
-    return clamp(
-        F.lit(0.6) * clamp((length - 10.0) / 25.0) + F.lit(0.4) * clamp(F.lit(4.0) * long_share)
+    return _between(
+        F.lit(0.6) * _between((length - 10.0) / 25.0) + F.lit(0.4) * _between(F.lit(4.0) * long_share)
     )
 
 
@@ -128,7 +134,7 @@ def risk_sentiment(tokens: Column) -> Column:
     """Smoothed balance of positive and negative terms."""
     neg = F.size(_in_list(tokens, policy.NEGATIVE_TERMS))
     pos = F.size(_in_list(tokens, policy.POSITIVE_TERMS))
-    return clamp((pos - neg) / (pos + neg + 3.0), -1.0, 1.0)
+    return _between((pos - neg) / (pos + neg + 3.0), -1.0, 1.0)
 
 
 def top_negative_terms(tokens: Column, k: int = 5) -> Column:

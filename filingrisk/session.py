@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,3 +32,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The table written once to the shared checkpoint folder and read back.
+
+    For a derived table that later steps read more than once: it is computed
+    once, its lineage ends at the files, and each step scans only its columns.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/filingrisk/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
