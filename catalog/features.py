@@ -41,8 +41,13 @@ SQL_RATIOS["fin_altman_z"] = (
 TRENDS = ("leverage", "roa", "debt_to_equity", "current_ratio", "log_assets", "asset_turnover", "net_margin")
 
 
-def _rounded(names, digits=6):
-    return [F.round(n, digits).alias(n) for n in names]
+def _digits(name: str) -> int:
+    # Percentiles are short fractions: at six digits some would be exact halves.
+    return 9 if name.endswith("_sic_pct") else 6
+
+
+def _rounded(names):
+    return [F.round(n, _digits(n)).alias(n) for n in names]
 
 
 def _ratio_cte(source: str, name: str = "r") -> str:
@@ -167,7 +172,7 @@ def _pct_sql(source: str, named: str = "q") -> str:
 @query(
     "wn4_industry_percentile",
     f"{with_views('fx_firm_year')},{_ratio_cte('fx_firm_year')},{_pct_sql('r')} select doc_id, "
-    + ", ".join(f"round({b}_sic_pct, 6) as {b}_sic_pct" for b in sorted(PCT))
+    + ", ".join(f"round({b}_sic_pct, 9) as {b}_sic_pct" for b in sorted(PCT))
     + " from q",
 )
 def _(w):
@@ -196,7 +201,7 @@ def _(w):
 @query(
     "prj18_all_financial_features",
     f"{with_views('fx_firm_year')},{_ratio_cte('fx_firm_year')},{_trend_sql('r')},{_pct_sql('t')} select doc_id, "
-    + ", ".join(f"round({n}, 6) as {n}" for n in ALL_FEATURES)
+    + ", ".join(f"round({n}, {_digits(n)}) as {n}" for n in ALL_FEATURES)
     + ", "
     + ", ".join(f"case when {n} is null then 1.0e0 else 0.0e0 end as fin_miss_{n[4:]}" for n in ALL_FEATURES)
     + " from q",

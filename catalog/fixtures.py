@@ -92,7 +92,7 @@ from {documents}
 FACTS = """
 select o_custkey as cik,
   case l_returnflag when 'A' then 'Revenues' when 'N' then 'SalesRevenueNet' else 'Assets' end as tag,
-  'USD' as unit, cast(l_orderkey * 10 + l_linenumber as bigint) as pos,
+  'USD' as unit, cast((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as bigint) as pos,
   cast(year(o_orderdate) as int) as fy, case when l_linenumber = 7 then 'Q1' else 'FY' end as fp,
   case when l_linenumber = 6 then '10-Q' when l_linenumber = 5 then '10-K/A' else '10-K' end as form,
   cast(l_shipdate as date) as filed, cast(round(l_extendedprice*100) as double) as val

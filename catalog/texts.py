@@ -135,6 +135,19 @@ _score_query("txt5_redundancy", "redundancy", _REDUND, lambda: tx.redundancy(F.c
 _score_query("txt6_complexity", "complexity", _COMPLEX, lambda: tx.complexity(F.col("k"), F.col("ns")))
 _score_query("txt7_risk_sentiment", "sentiment", _TONE, lambda: tx.risk_sentiment(F.col("k")))
 
+_VALUES = (
+    f"vals as (select *, case when {_N} > 0 then {_VAGUE} end as v, case when {_N} > 0 then {_REDUND} end as r,"
+    f" case when {_N} > 0 then {_COMPLEX} end as c, {_TONE} as s from tok)"
+)
+
+
+def _four(x: str) -> str:
+    """Four digits, exact halves to even, by comparing with the halfway double itself."""
+    k = f"floor({x}*10000)"
+    half = f"({k} + 0.5e0)/10000.0e0"
+    return f"(case when {x} > {half} then {k} + 1 when {x} < {half} then {k} else {k} + abs({k} % 2) end)/10000.0e0"
+
+
 _TOP = f"""hits as (select doc_id, term, count(*) as c, min(pos) as p from (
     select doc_id, unnest(k) as term, generate_subscripts(k, 1) as pos from tok) where term in ({_list(policy.NEGATIVE_TERMS)}) group by doc_id, term),
   top as (select doc_id, string_agg(term, ', ' order by c desc, p) as terms from (
@@ -156,14 +169,14 @@ _SUMMARY = (
 )
 @query(
     "txt9_heuristic_profile",
-    f"""with {TOKENS},{_TOP} select doc_id,
-    case when {_N} < 10 then 0.5e0 else cast(round_even({_VAGUE}, 4) as double) end as llm_vagueness_score,
-    case when {_N} < 10 then 0.5e0 else cast(round_even({_REDUND}, 4) as double) end as llm_redundancy_score,
-    case when {_N} < 10 then 0.5e0 else cast(round_even({_COMPLEX}, 4) as double) end as llm_complexity_score,
-    case when {_N} < 10 then 0.0e0 else cast(round_even({_TONE}, 4) as double) end as llm_risk_sentiment,
+    f"""with {TOKENS},{_TOP},{_VALUES} select doc_id,
+    case when {_N} < 10 then 0.5e0 else {_four('v')} end as llm_vagueness_score,
+    case when {_N} < 10 then 0.5e0 else {_four('r')} end as llm_redundancy_score,
+    case when {_N} < 10 then 0.5e0 else {_four('c')} end as llm_complexity_score,
+    case when {_N} < 10 then 0.0e0 else {_four('s')} end as llm_risk_sentiment,
     case when {_N} < 10 then 0.0e0 else 0.35e0 end as llm_confidence,
     case when {_N} < 10 then '[fallback] text too short for analysis' else {_SUMMARY} end as llm_risk_summary
-    from tok left join top using (doc_id)""",
+    from vals left join top using (doc_id)""",
 )
 def _(w):
     return textscores.text_features(w.documents, text_col="text", entities=False)
@@ -226,8 +239,8 @@ def _(w):
 
 @query(
     "txt11_profile_features",
-    f"""with {TOKENS} select doc_id, case when {_N} < 10 then 0.0e0 else cast(round_even({_TONE}, 4) as double) end as t_risk_sentiment,
-    case when {_N} < 10 then 0.0e0 else 0.35e0 end as t_confidence from tok""",
+    f"""with {TOKENS},{_VALUES} select doc_id, case when {_N} < 10 then 0.0e0 else {_four('s')} end as t_risk_sentiment,
+    case when {_N} < 10 then 0.0e0 else 0.35e0 end as t_confidence from vals""",
 )
 def _(w):
     profiles = textscores.heuristic_profiles(documents_prepared(w), "t")
@@ -301,9 +314,9 @@ def _(w):
 
 @query(
     "src11_cached_profiles",
-    f"""with {_KNOWN},{TOKENS[len(PREPARED) + 2:]} select doc_id, case when known.text_hash is not null then 0.25e0
-    when {_N} < 10 then 0.0e0 else cast(round_even({_TONE}, 4) as double) end as llm_risk_sentiment
-    from tok join h using (doc_id) left join known using (text_hash)""",
+    f"""with {_KNOWN},{TOKENS[len(PREPARED) + 2:]},{_VALUES} select doc_id, case when known.text_hash is not null then 0.25e0
+    when {_N} < 10 then 0.0e0 else {_four('s')} end as llm_risk_sentiment
+    from vals join h using (doc_id) left join known using (text_hash)""",
 )
 def _(w):
     out = textscores.text_features(
@@ -314,8 +327,8 @@ def _(w):
 
 @query(
     "jn5_join_text_features",
-    f"""with {TOKENS} select d.doc_id, l.quality, case when {_N} < 10 then 0.0e0 else cast(round_even({_TONE}, 4) as double) end as llm_risk_sentiment
-    from labels l join documents d using (doc_id) join tok using (doc_id)""",
+    f"""with {TOKENS},{_VALUES} select d.doc_id, l.quality, case when {_N} < 10 then 0.0e0 else {_four('s')} end as llm_risk_sentiment
+    from labels l join documents d using (doc_id) join vals using (doc_id)""",
 )
 def _(w):
     feats = textscores.text_features(w.documents, text_col="text", entities=False, summary=False)
