@@ -9,7 +9,7 @@ from catalog.labels import HEAD, training_rows
 from catalog.registry import query
 from filingrisk.operators import facts as fct
 from filingrisk.operators import panel, ratios
-from filingrisk.operators.roles import resolve_concepts
+from filingrisk.operators.roles import resolve_concepts, resolve_roles
 from filingrisk.policy import CONCEPTS
 from filingrisk.session import materialise
 from filingrisk.sources.facts import flatten_facts
@@ -106,6 +106,24 @@ def _(w):
     return named.select("doc_id", *[F.round(levels[c], 6).alias(c) for c in ("fin_leverage", "fin_roa", "fin_asset_turnover")])
 
 
+@query(
+    "prj1_column_roles",
+    f"""{with_views('fx_firm_year')} select concat(cast(cik as varchar), '_', cast(fyear as varchar)) as doc_id,
+    'misstate' as label, 'item7' as text, 'fyear' as year from fx_firm_year""",
+)
+def _(w):
+    named = w.firm_years.select(
+        "cik", "fyear", F.lit(0).alias("misstate"), F.col("name").alias("item7"), F.lit(1).alias("default")
+    )
+    out, roles = resolve_roles(named)
+    return out.select(
+        roles.row_id,
+        F.lit(roles.label).alias("label"),
+        F.lit(roles.text).alias("text"),
+        F.lit(roles.year).alias("year"),
+    )
+
+
 @query(
     "prj3_safe_division",
     """select l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_discount, 0), 6) as per_discount,
