@@ -22,7 +22,7 @@ def bundle_sql(source: str, by: str = "", digits: int = 8) -> str:
     d as (select {key}p, sum(y) as pos, sum(1-y) as neg from {source} group by {key}p),
     c as (select *, sum(pos) over ({part}order by p desc) as tp, sum(neg) over ({part}order by p desc) as fp from d),
     a as (select {key}sum(neg*(tp - pos/2.0e0)) as area, sum(pos*tp*1.0e0/(tp+fp)) as ap from c {group}),
-    s as (select {key}count(*) as n, cast(sum(y) as bigint) as positives, avg(cast(y as double)) as base_rate,
+    s as (select {key}count(*) as n, cast(coalesce(sum(y), 0) as bigint) as positives, avg(cast(y as double)) as base_rate,
       avg((p-y)*(p-y)) as brier from {source} {group}),
     m as (select {('s.' + by + ', ') if by else ''}n, positives, round(base_rate, {digits}) as base_rate, round(brier, {digits}) as brier,
       case when base_rate > 0 and base_rate < 1 then round(1 - brier/(base_rate*(1-base_rate)), {digits}) end as brier_skill,
