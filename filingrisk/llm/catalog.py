@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import chat, warc
+from filingrisk.llm import chat, licenses, secrets, warc
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -31,6 +31,11 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark)}/filingrisk/{kind}-{uuid.uuid4().hex}"
 
 
+@query("op2_license_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, folder, "documents"))
+
+
 OP3_SQL = r"""
 with p as (select page_id, coalesce(html, '') as html from pages),
 h as (select page_id, strlen(html) as n, sha1(html) as hex,
@@ -53,6 +58,19 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return warc.record_digests(warc.read_archive(spark, at)).drop("record_bytes")
 
 
+@query("op9_secret_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, folder, "documents"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secrets.shown("base"), 256).alias("base_sha256"),
+        secrets.shown("spans").alias("spans"),
+    )
+
+
 OP10_SQL = r"""
 with rows as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

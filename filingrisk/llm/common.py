@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
+from zipfile import ZipFile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,23 @@ _ARROW = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="filingrisk-code-")) / "filingrisk.zip"
+    with ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
     configure(spark)
@@ -46,6 +66,7 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
     `make` runs once per task and returns that function; it takes the columns of
     df in order. Output is sent on in batches, so a task holds one batch only.
     """
+    ship_package(df.sparkSession)
     schema = arrow_schema(ddl)
 
     def run(batches):
