@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import chat, licenses, secrets, warc
+from filingrisk.llm import bpe, chat, huffman, licenses, secrets, warc
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -58,6 +59,24 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return warc.record_digests(warc.read_archive(spark, at)).drop("record_bytes")
 
 
+@query("op4_huffman_ids")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    at = new_folder(spark, "ids")
+    docs = read_table(spark, folder, "documents")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    huffman.store_documents(docs, public_tokenizers.path("word_bpe_49k.json"), at, parts, end_id=1)
+    return huffman.read_ids(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_bpe_round_trip")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = bpe.encode_documents(read_table(spark, folder, "documents"), path, decoded=True)
+    return made.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query("op9_secret_scan")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(read_table(spark, folder, "documents"), ["doc_id"])

@@ -1,0 +1,47 @@
+"""Access to tokenizer files inside tasks; vocabularies are read, never trained."""
+
+from __future__ import annotations
+
+import os
+from functools import cache
+
+import numpy as np
+
+#: Pieces that a worker keeps encoded, at most; full, it starts anew.
+CACHED_PIECES = 300_000
+#: Longer pieces are encoded each time.
+CACHED_CHARS = 48
+
+
+@cache
+def tokenizer(path: str):
+    """The library's tokenizer without truncation or padding, on one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+class EncodedPieces(dict):
+    """piece -> its ids as little-endian 32-bit bytes, filled on demand by the library."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer(path)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+@cache
+def encoded_pieces(path: str) -> EncodedPieces:
+    """One per worker process, kept between tasks."""
+    return EncodedPieces(path)
