@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import bpe, chat, huffman, licenses, secrets, warc
+from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, secrets, warc
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -32,6 +32,14 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark)}/filingrisk/{kind}-{uuid.uuid4().hex}"
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    made = langid.classify(docs, model, ["doc_id"])
+    return made.withColumn("held_out", langid.held_out("doc_id"))
+
+
 @query("op2_license_scan")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, folder, "documents"))
@@ -77,6 +85,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_template_leaks")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
+    return decontaminate.find_leaks(docs, items).drop("text_key")
+
+
 @query("op9_secret_scan")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(read_table(spark, folder, "documents"), ["doc_id"])
