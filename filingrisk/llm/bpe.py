@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingrisk.llm.common import arrow_schema, flat_map, text_or_empty
-from filingrisk.llm.tokens import encoded_pieces, tokenizer
+from filingrisk.llm.tokens import byte_letters, encoded_pieces, tokenizer
 
 #: Longest text, in code points, that is encoded in one go; longer ones are halved.
 LEAF_CHARS = 4096
@@ -24,18 +24,6 @@ _ODD_SPACE = re.compile(r" \s|[^\S ] |^ | $")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
-@cache
-def _byte_of_letter() -> dict[str, int]:
-    """The letters that stand for the 256 bytes in byte-level vocabularies.
-
-    Fixed rule: printable Latin-1 bytes stand for themselves, the others take
-    the code points from 256 on in order.
-    """
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @dataclass
 class Vocabulary:
     path: str
@@ -48,7 +36,7 @@ class Vocabulary:
 def vocabulary(path: str) -> Vocabulary:
     made = tokenizer(path)
     special = {t.content: i for i, t in made.get_added_tokens_decoder().items()}
-    letters = _byte_of_letter()
+    letters = {letter: b for b, letter in byte_letters().items()}
     pieces = [b""] * made.get_vocab_size(with_added_tokens=True)
     for token, i in made.get_vocab(with_added_tokens=True).items():
         pieces[i] = token.encode() if token in special else bytes(letters[c] for c in token)

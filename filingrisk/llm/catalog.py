@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, secrets, warc
+from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, secrets, warc
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -76,6 +76,35 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return huffman.read_ids(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+OP6_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+    select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+                                      else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from words),
+kinds as (select min(doc_id) as kind, s, len(list_sort(s)) as n from (select doc_id, list_sort(s) as s from sets where len(s) > 0) group by s),
+one as (select kind, n, unnest(s) as x from kinds),
+links as (
+    select p.kind as a, q.kind as b from one p join one q on p.x = q.x and p.kind < q.kind and 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+    group by p.kind, q.kind, p.n, q.n having 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+both_ways as (select a, b from links union all select b, a from links),
+reach(kind, low) as (
+    select kind, kind from kinds
+    union
+    select b, low from reach join both_ways on kind = a),
+comps as (select kind, min(low) as component_id from reach group by kind)
+select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(c.component_id, d.doc_id) as component_id,
+       d.doc_id = coalesce(c.component_id, d.doc_id) as kept
+from sets d left join kinds k on len(d.s) > 0 and list_sort(d.s) = k.s left join comps c on c.kind = k.kind
+"""
+
+
+@query("op6_minhash_near_dedup", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, folder, "documents"), k=2, percent=80)
+
+
 @query("op7_bpe_round_trip")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ _CAP, _END, _TYPED, _FLAGS = 1, 2, 4, 7
 
 
 def _number(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little") & ~_FLAGS
+    return xxhash.xxh64_intdigest(text.encode()) & ~_FLAGS
 
 
 NAME_NUMBER = np.uint64(_number(PLACE["name"]))
@@ -52,15 +53,15 @@ class PackedTokens(dict):
     """Chunk between blanks -> its tokens as packed 64-bit numbers; a chunk's sentence end is on its last token."""
 
     def __missing__(self, chunk: str) -> bytes:
-        packed, matches = [], list(_TOKEN.finditer(chunk))
-        for i, m in enumerate(matches):
-            after = chunk[m.end() : matches[i + 1].start() if i + 1 < len(matches) else len(chunk)]
-            token = m[0]
-            kind = token_type(token)
-            flags = _END * bool(_SENTENCE_END.search(after)) + _TYPED * bool(kind)
-            flags += _CAP * (not kind and len(token) > 1 and token[0].isupper() and token[1:].islower())
-            packed.append(_number(PLACE[kind] if kind else token.lower()) | flags)
-        value = np.array(packed, dtype="<u8").tobytes()
+        if chunk.isalpha():
+            value = _packed(chunk, 0)
+        else:
+            parts, matches = [], list(_TOKEN.finditer(chunk))
+            ends = [*(m.start() for m in matches[1:]), len(chunk)]
+            for m, end in zip(matches, ends, strict=False):
+                closes = end > m.end() and _SENTENCE_END.search(chunk, m.end(), end)
+                parts.append(_packed(m[0], _END if closes else 0))
+            value = b"".join(parts)
         if len(chunk) <= 48:
             if len(self) >= 300_000:
                 self.clear()
@@ -68,9 +69,21 @@ class PackedTokens(dict):
         return value
 
 
-def token_type(token: str) -> str:
-    """num or unit for what is a placeholder anywhere, else nothing."""
+def _packed(token: str, flags: int) -> bytes:
     low = token.lower()
+    kind = token_type(low)
+    if kind:
+        return (_number(PLACE[kind]) | flags | _TYPED).to_bytes(8, "little")
+    return (_number(low) | flags | (_CAP if _is_name(token, low) else 0)).to_bytes(8, "little")
+
+
+def _is_name(token: str, low: str) -> bool:
+    """Capitalised: one large letter, then small ones only."""
+    return token[0] != low[0] and len(token) > 1 and token[1:] == low[1:]
+
+
+def token_type(low: str) -> str:
+    """num or unit for what is a placeholder anywhere, else nothing."""
     return "num" if low[0].isdigit() or low in NUMBER_WORDS else "unit" if low in UNITS else ""
 
 
@@ -99,11 +112,10 @@ class Templates:
         for chunk in text.replace("\n", ". ").replace("\t", " ").split(" "):
             matches = list(_TOKEN.finditer(chunk))
             for i, m in enumerate(matches):
-                token, kind = m[0], token_type(m[0])
-                if not kind and not start and len(token) > 1 and token[0].isupper() and token[1:].islower():
-                    kind = "name"
-                raw.append(token.lower())
-                canonical.append(PLACE[kind] if kind else token.lower())
+                low = m[0].lower()
+                kind = token_type(low) or ("name" if not start and _is_name(m[0], low) else "")
+                raw.append(low)
+                canonical.append(PLACE[kind] if kind else low)
                 after = chunk[m.end() : matches[i + 1].start() if i + 1 < len(matches) else len(chunk)]
                 start = bool(_SENTENCE_END.search(after))
         return canonical, raw

@@ -1,8 +1,9 @@
 """Token-id files: canonical length-limited Huffman codes from global counts.
 
 A file set is a folder with three tables. `codebook` has the code length of
-each id that occurs. `blocks` has independent blocks: payload bits, the bit
-offset of every STRIDE-th token, and the tokens of each document in the block.
+each id that occurs. `blocks` has independent blocks: payload bits, in which each
+document starts at a whole byte, the bit offset of every STRIDE-th token of a
+document, and the number of tokens of each.
 `parts` has the number of tokens of each range of documents, from which the
 position of a block in the whole sequence follows.
 """
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm.common import arrow_schema, flat_map, text_or_empty
-from filingrisk.llm.tokens import encoded_pieces
+from filingrisk.llm.common import arrow_schema, flat_map, ship_package, text_or_empty
+from filingrisk.llm.tokens import encoded_pieces, tokenizer
 from filingrisk.session import materialise
 
 #: Longest code, in bits; the decoding table has 2 ** MAX_BITS entries.
@@ -29,8 +30,8 @@ STRIDE = 256
 BLOCK_TOKENS = 1 << 18
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """doc_id, ids (packed little-endian 32-bit) of each whole text, end_id appended.
+def tokenize(docs: DataFrame, path: str, end_id: int | None, width: int = 4) -> DataFrame:
+    """doc_id, ids (packed little-endian, `width` bytes each) of each whole text, end_id appended.
 
     For vocabularies whose splitting never joins characters across white space
     (`path` names one): each run between spaces, tabs or line ends is encoded by
@@ -44,7 +45,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
 
         def produce(doc_id, text):
             pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            yield doc_id, b"".join([known[p] for p in pieces if p]) + end
+            packed = b"".join([known[p] for p in pieces if p]) + end
+            yield doc_id, packed if width == 4 else np.frombuffer(packed, dtype="<u4").astype(f"<u{width}").tobytes()
 
         return produce
 
@@ -52,14 +54,15 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     return flat_map(docs.select("doc_id", text_or_empty().alias("text")), make, f"doc_id {kind}, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> dict[int, int]:
+def count_ids(tokens: DataFrame, width: int = 4) -> dict[int, int]:
     """Global counts; each task sends one row per id it has met. Bounded by the vocabulary."""
+    ship_package(tokens.sparkSession)
 
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             packed = b"".join(x for x in batch.column(0).to_pylist() if x)
-            counted = np.bincount(np.frombuffer(packed, dtype="<u4").astype(np.int64), minlength=len(total))
+            counted = np.bincount(np.frombuffer(packed, dtype=f"<u{width}").astype(np.int64), minlength=len(total))
             counted[: len(total)] += total
             total = counted
         ids = np.flatnonzero(total)
@@ -144,27 +147,38 @@ class Codebook:
         table_lengths[: spans.sum()] = np.repeat(self.lengths, spans)
         return table_ids, table_lengths
 
-    def encode(self, ids: np.ndarray, stride: int) -> tuple[bytes, np.ndarray]:
-        """Payload, and the bit offset of every stride-th token.
+    def encode(self, ids: np.ndarray, sizes: np.ndarray, stride: int) -> tuple[list[bytes], list[np.ndarray]]:
+        """Payload of each document, and in it the bit offset of every stride-th token.
 
-        A code has at most 32 bits, so it touches two 32-bit words; the parts of
+        `ids` has the documents one after the other, `sizes` their lengths. A
+        code has at most 32 bits, so it touches two 32-bit words; the parts of
         all codes that start in a word are disjoint and add up.
         """
         lengths = self.length_of[ids]
-        ends = np.cumsum(lengths)
-        begins = ends - lengths
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        last = np.cumsum(sizes)
+        first = last - sizes
+        n_bytes = (ends[last] - ends[first] + 7) // 8
+        base = np.concatenate([[0], np.cumsum(n_bytes)])
+        begins = ends[:-1] + np.repeat(8 * base[:-1] - ends[first], sizes)
         word = begins >> 5
         shifted = self.code_of[ids] << (64 - (begins & 31) - lengths).astype(np.uint64)
-        out = np.zeros(int(ends[-1] >> 5) + 3, dtype=np.uint64)
-        firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        total = np.add.reduceat(shifted, firsts)  # no two share a bit
-        out[word[firsts]] += total >> np.uint64(32)
-        out[word[firsts] + 1] += total & np.uint64(0xFFFFFFFF)
-        payload = out.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8]
-        return payload, begins[::stride]
-
-    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, stride: int, tables) -> np.ndarray:
-        """All tokens of a block; one step decodes one token behind each checkpoint."""
+        out = np.zeros(int(base[-1] >> 2) + 3, dtype=np.uint64)
+        if len(ids):
+            firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            total = np.add.reduceat(shifted, firsts)  # no two share a bit
+            out[word[firsts]] += total >> np.uint64(32)
+            out[word[firsts] + 1] += total & np.uint64(0xFFFFFFFF)
+        raw = out.astype(">u4").tobytes()
+        payloads = [raw[x:y] for x, y in zip(base.tolist(), base[1:].tolist(), strict=False)]
+        marks = [begins[f:e:stride] - 8 * b for f, e, b in zip(first.tolist(), last.tolist(), base.tolist(), strict=False)]
+        return payloads, marks
+
+    def decode(self, payload: bytes, checkpoints: np.ndarray, stride: int, tables) -> np.ndarray:
+        """`stride` tokens behind each checkpoint, one row for each; one step decodes one token of all.
+
+        What a row has beyond its document's last token means nothing.
+        """
         table_ids, table_lengths = tables
         raw = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint32)
         window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]  # 32 bits from each byte on
@@ -172,64 +186,76 @@ class Codebook:
         out = np.zeros((len(position), stride), dtype=np.uint32)
         down = np.uint32(32 - self.bits)
         last = len(window) - 1
-        for step in range(min(stride, n)):
+        for step in range(stride):
             at = np.minimum(position >> 3, last)
             peek = (window[at] << (position & 7).astype(np.uint32)) >> down
             out[:, step] = table_ids[peek]
             position += table_lengths[peek]
-        return out.ravel()[:n]
+        return out
 
 
+_CODED = "doc_id bigint, n_tokens bigint, marks array<bigint>, payload binary"
 _BLOCK = "part bigint, first bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, checkpoints array<bigint>, payload binary"
 
 
-def write_ids(tokens: DataFrame, folder: str, parts: int, max_bits: int = MAX_BITS, stride: int = STRIDE, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Write doc_id (a whole number), ids to `folder` in ascending doc_id order.
+def write_ids(
+    tokens: DataFrame, folder: str, parts: int, width: int = 4, max_bits: int = MAX_BITS, stride: int = STRIDE, block_tokens: int = BLOCK_TOKENS
+) -> None:
+    """Write doc_id (a whole number), ids (packed, `width` bytes each) to `folder` in ascending doc_id order.
 
-    The input is read twice, so give it stored. Rows of one doc_id stand next to
-    each other, ordered by ids; null doc_ids come first. A document is never
-    divided: a block holds whole documents, more than block_tokens only for one
-    that has more. An empty table gives empty files.
+    The input is read more than once, so give it stored. Documents are coded
+    where they are and only then ordered. Rows of one doc_id stand next to each
+    other, ordered by their bits; null doc_ids come first. A block holds whole
+    documents, more than block_tokens only for one that has more. An empty
+    table gives empty files.
     """
     if max_bits > 24:
         raise ValueError("the decoder looks at 32 bits from a byte on, so codes have 24 bits at most")
-    counts = count_ids(tokens)
-    lengths = code_lengths(counts, max_bits)
+    lengths = code_lengths(count_ids(tokens, width), max_bits)
     spark = tokens.sparkSession
     book = spark.createDataFrame(sorted(lengths.items()), "id bigint, length bigint")
     book.coalesce(1).write.parquet(f"{folder}/codebook")
     ids, bits = np.array(sorted(lengths)), np.array([lengths[i] for i in sorted(lengths)])
     shared = spark.sparkContext.broadcast((ids, bits))  # bounded by the vocabulary
-    schema = arrow_schema(_BLOCK)
+    coded_schema, schema = arrow_schema(_CODED), arrow_schema(_BLOCK)
 
-    def run(batches):
-        codes, first, held, part = None, 0, [], None
+    def code(batches):
+        book = Codebook(*shared.value)
+        for batch in batches:
+            packed = [x or b"" for x in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) // width for x in packed], dtype=np.int64)
+            stream = np.frombuffer(b"".join(packed), dtype=f"<u{width}").astype(np.int64)
+            payloads, marks = book.encode(stream, sizes, stride)
+            columns = (batch.column(0), sizes, [m.tolist() for m in marks], payloads)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, coded_schema.types, strict=True)], schema=coded_schema)
+
+    def gather(batches):
+        first, n, held, part = 0, 0, [], None
 
         def block():
-            nonlocal first
-            stream = np.frombuffer(b"".join(x for _, x in held), dtype="<u4").astype(np.int64)
-            payload, marks = codes.encode(stream, stride) if len(stream) else (b"", stream)
-            columns = ([part], [first], [len(stream)], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [marks.tolist()], [payload])
-            first += len(stream)
+            at, marks = 0, []
+            for _, _, own, payload in held:
+                marks += [at + m for m in own]
+                at += 8 * len(payload)
+            columns = ([part], [first], [n], [[h[0] for h in held]], [[h[1] for h in held]], [marks], [b"".join(h[3] for h in held)])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-        n = 0
         for batch in batches:
-            codes = codes or Codebook(*shared.value)
-            for key, doc_id, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part = key
-                held.append((doc_id, packed or b""))
-                n += len(held[-1][1]) // 4
+                held.append(row)
+                n += row[1]
                 if n >= block_tokens:
                     yield block()
-                    held, n = [], 0
+                    first, n, held = first + n, 0, []
         if held:
             yield block()
 
-    ranged = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    blocks = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids").mapInArrow(run, _BLOCK)
-    blocks.write.parquet(f"{folder}/blocks")
+    order = F.col("doc_id").asc_nulls_first()
+    coded = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(code, _CODED)
+    ranged = coded.repartitionByRange(parts, order).sortWithinPartitions(order, "payload")
+    numbered = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "n_tokens", "marks", "payload")
+    numbered.mapInArrow(gather, _BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{folder}/parts")
 
 
@@ -255,11 +281,12 @@ def read_ids(spark: SparkSession, folder: str, stride: int = STRIDE) -> DataFram
         codes, tables = _reader(*shared.value)
 
         def produce(part, first, n_tokens, doc_ids, doc_tokens, checkpoints, payload):
-            ids = codes.decode(payload, np.array(checkpoints, dtype=np.int64), n_tokens, stride, tables) if n_tokens else np.zeros(0, np.uint32)
-            position = 0
+            lanes = codes.decode(payload, np.array(checkpoints, dtype=np.int64), stride, tables)
+            position = lane = 0
             for doc_id, n in zip(doc_ids, doc_tokens, strict=True):
-                yield doc_id, before[part] + first + position, n, ids[position : position + n].astype("<u4").tobytes()
-                position += n
+                own = -(-n // stride)
+                yield doc_id, before[part] + first + position, n, lanes[lane : lane + own].ravel()[:n].astype("<u4").tobytes()
+                position, lane = position + n, lane + own
 
         return produce
 
@@ -271,4 +298,5 @@ def read_ids(spark: SparkSession, folder: str, stride: int = STRIDE) -> DataFram
 
 def store_documents(docs: DataFrame, path: str, folder: str, parts: int, end_id: int | None = 1) -> None:
     """Tokenize whole texts and write their ids to `folder`."""
-    write_ids(materialise(tokenize(docs, path, end_id)), folder, parts)
+    width = 2 if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+    write_ids(materialise(tokenize(docs, path, end_id, width)), folder, parts, width)
