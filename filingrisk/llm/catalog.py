@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, secrets, warc
+from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, neighbours, secrets, warc
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -76,6 +76,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return huffman.read_ids(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 OP6_SQL = r"""
 with recursive words as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -25,6 +25,7 @@ _ARROW = {
     "binary": pa.binary(),
     "array<bigint>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
+    "float": pa.float32(),
     "array<float>": pa.list_(pa.float32()),
     "array<string>": pa.list_(pa.string()),
 }
