@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingrisk.llm.common import arrow_schema, flat_map, text_or_empty
-from filingrisk.llm.tokens import byte_letters, encoded_pieces, tokenizer
+from filingrisk.llm.vocabulary import byte_letters, encoded_pieces, tokenizer
 
 #: Longest text, in code points, that is encoded in one go; longer ones are halved.
 LEAF_CHARS = 4096

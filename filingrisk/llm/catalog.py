@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, neighbours, secrets, warc
+from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, neighbours, secretscan, warc
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -127,14 +127,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_secret_scan")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets.find_secrets(read_table(spark, folder, "documents"), ["doc_id"])
+    found = secretscan.find_secrets(read_table(spark, folder, "documents"), ["doc_id"])
     return found.select(
         "doc_id",
         "n_assign",
         "n_access",
         "n_hex",
-        F.sha2(secrets.shown("base"), 256).alias("base_sha256"),
-        secrets.shown("spans").alias("spans"),
+        F.sha2(secretscan.shown("base"), 256).alias("base_sha256"),
+        secretscan.shown("spans").alias("spans"),
     )
 
 

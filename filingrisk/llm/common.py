@@ -48,10 +48,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables, whole."""
+def prepare_session(spark: SparkSession) -> None:
+    """Runtime options that the operators rely on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables, whole."""
+    prepare_session(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingrisk.llm.common import arrow_schema, flat_map, ship_package, text_or_empty
-from filingrisk.llm.tokens import encoded_pieces, tokenizer
+from filingrisk.llm.vocabulary import encoded_pieces, tokenizer
 from filingrisk.session import materialise
 
 #: Longest code, in bits; the decoding table has 2 ** MAX_BITS entries.
