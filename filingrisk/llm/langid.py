@@ -18,7 +18,7 @@ FEATURES = 1 << 12
 SAMPLE_PER_LANGUAGE = 1500
 #: Centroids per language, at most.
 CLUSTERS = 4
-#: A text is rejected if its cosine is below this share of the least usual one (FLOOR_QUANTILE) of its centroid.
+#: A text is rejected if its cosine is below this share of the least usual one (FLOOR_QUANTILE) of its language.
 FLOOR_SHARE = 0.25
 FLOOR_QUANTILE = 0.01
 UNKNOWN = "und"
@@ -36,7 +36,7 @@ def n_gram_counts(text: str) -> np.ndarray | None:
     """Counts of the hashed n-grams of a text, None if it has no letters.
 
     The text is lower-cased; each run of other characters than letters counts
-    as one blank.
+    as one blank, which is no 1-gram.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
     letters = _letters()
@@ -54,7 +54,7 @@ def n_gram_counts(text: str) -> np.ndarray | None:
     two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(40503) + a[1:]
     three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(2246822519) + a[2:]
     counts = np.zeros(FEATURES, dtype=np.int64)
-    for grams in (one, two * np.uint32(3266489917), three * np.uint32(668265263)):
+    for grams in (one[a != 32], two * np.uint32(3266489917), three * np.uint32(668265263)):
         counts += np.bincount(grams >> shift, minlength=FEATURES)
     return counts
 
@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters:
 
 
 def spherical_means(vectors: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of up to k clusters by cosine, and the least cosine still usual in each.
+    """Centres of up to k clusters by cosine, and for each the least cosine that is not rejected.
 
     Starts from the mean's nearest vector and goes on with the farthest from those chosen.
     """
@@ -163,10 +163,8 @@ def spherical_means(vectors: np.ndarray, k: int, rounds: int = 20) -> tuple[np.n
         if np.allclose(moved, centres):
             break
         centres = moved
-    cosines = vectors @ centres.T
-    own = cosines.argmax(axis=1)
-    floors = [FLOOR_SHARE * float(np.quantile(cosines[own == c, c], FLOOR_QUANTILE)) if (own == c).any() else 1.0 for c in range(len(centres))]
-    return centres, np.array(floors)
+    floor = FLOOR_SHARE * float(np.quantile((vectors @ centres.T).max(axis=1), FLOOR_QUANTILE))
+    return centres, np.full(len(centres), floor)
 
 
 def classify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

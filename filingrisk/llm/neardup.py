@@ -1,8 +1,8 @@
 """MinHash near-duplicates with sequential Bayesian verification of banded candidates.
 
-Sets are exact copies first (one node per distinct set). Nodes that share a band
-are compared along a star, each with the smallest node of its bucket; verified
-links make components. What a star cannot settle, members of a bucket that are
+Equal sets are one node. Nodes that share a band are compared along stars, with
+the smallest node of the bucket and then with a member of its largest component;
+verified links make components. What stars cannot settle, members of a bucket that are
 still in different components, is compared in blocks inside tasks, which send
 on only pairs that the posterior does not rule out. Every surviving pair that
 could join two components is verified on the full sets.
@@ -23,7 +23,7 @@ from filingrisk.session import materialise
 
 BANDS, ROWS = 64, 8
 #: Signature bytes for verification, compared in batches of BATCH.
-CHECKED, BATCH = 256, 32
+CHECKED, BATCH = 512, 64
 #: Chance at most that a linked pair is ruled out at one batch.
 MISS = 1e-6
 #: Members of a bucket in one task; more are dealt to several.
@@ -254,6 +254,8 @@ class Linker:
         """Adds the pairs whose full sets are similar enough to the links."""
         percent, schema = self.percent, arrow_schema("a bigint, b bigint")
         pairs = materialise(pairs.select("a", "b").distinct())
+        if self.links is not None and pairs.isEmpty():
+            return
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = materialise(self.sets_of(nodes))
 
@@ -277,6 +279,13 @@ class Linker:
         self.links = materialise(links)
         self.comps = materialise(connected(self.links))
 
+    def verify_likeliest(self, pairs: DataFrame) -> None:
+        """Verifies the likeliest pair of each node, then the pairs that still lie between components."""
+        ends = pairs.select(F.col("a").alias("node"), "matches", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "matches", "a", "b"))
+        best = ends.groupBy("node").agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b")
+        self.verify(best)
+        self.verify(self.between(pairs))
+
     def labelled(self, df: DataFrame, column: str, label: str) -> DataFrame:
         """df with the component of a node column; a node without links is its own."""
         comps = self.comps.select(F.col("node").alias("c_node"), F.col("comp").alias(label))
@@ -288,6 +297,15 @@ class Linker:
         return self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
 
 
+def mixed_buckets(linker: Linker, members: DataFrame) -> DataFrame:
+    """bucket, node, n, comp, main of the buckets in which several components meet; main is the largest."""
+    placed = linker.labelled(members.select("bucket", "node", "n"), "node", "comp")
+    per_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    mixed = per_comp.groupBy(F.col("bucket").alias("b")).agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    # Two members have been compared with each other already.
+    return materialise(placed.join(mixed.where("comps > 1"), F.col("bucket") == F.col("b")).where("n > 2").drop("b"))
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles and for sets that are not empty a 128-bit key, signature and band keys."""
 
@@ -335,16 +353,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     linker = Linker(docs, k, percent)
     star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stay = materialise(_sift_pairs(star, sigs, percent))
-    # First the likeliest pair of each node, then what still lies between components.
-    ends = stay.select(F.col("a").alias("node"), "matches", "a", "b").unionByName(stay.select(F.col("b").alias("node"), "matches", "a", "b"))
-    linker.verify(ends.groupBy("node").agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b"))
-    linker.verify(linker.between(stay))
-
-    # Buckets with more than one component: all but the largest ask all members.
-    placed = linker.labelled(members.select("bucket", "node", "n"), "node", "comp")
-    per_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    mixed = per_comp.groupBy(F.col("bucket").alias("b")).agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    placed = materialise(placed.join(mixed, F.col("bucket") == F.col("b")).where("n > 2"))
+    linker.verify_likeliest(stay)
+
+    # Buckets still with several components: what is outside the largest meets one
+    # member of it, another in each bucket.
+    placed = mixed_buckets(linker, members)
+    reps = placed.where("comp = main").groupBy(F.col("bucket").alias("b")).agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("rep"))
+    again = placed.where("comp <> main").join(reps, F.col("bucket") == F.col("b"))
+    again = again.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
+    linker.verify_likeliest(materialise(_sift_pairs(again, sigs, percent)))
+
+    # What is outside the largest component of its bucket then asks all members.
+    placed = mixed_buckets(linker, members)
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
     answers = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("asks", F.lit(False))
     asking = placed.where("comp <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("asks", F.lit(True))
