@@ -9,7 +9,7 @@ from catalog.registry import query
 from filingrisk.operators import bootstrap, evaluation
 
 PRED = with_views("fx_pred")
-N_BOOT = 8
+N_BOOT = 500
 
 
 def bundle_sql(source: str, by: str = "", digits: int = 8) -> str:

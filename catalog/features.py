@@ -265,12 +265,12 @@ def _(w):
 
 @query(
     "jn3_bankruptcy_lookup",
-    f"{HEAD} select doc_id, bankruptcy_date from fx_firm_year join bk using (cik)",
+    f"{HEAD} select doc_id, bankruptcy_date from fx_firm_year left join bk using (cik)",
 )
 def _(w):
     from filingrisk.operators.events import bankruptcy_dates
 
-    return w.firm_years.join(bankruptcy_dates(w.events, **MARKING), "cik").select(
+    return w.firm_years.join(bankruptcy_dates(w.events, **MARKING), "cik", "left").select(
         "doc_id", "bankruptcy_date"
     )
 

@@ -50,7 +50,7 @@ from li join {customer} on c_custkey = o_custkey group by o_custkey, fyear
 EVENTS = """
 select o_custkey as cik, cast(l_shipdate as date) as filing_date_8k,
   concat_ws(',',
-    case when l_quantity>=49 and l_discount>=0.09
+    case when l_quantity>=50 and l_discount>=0.10
       then case when l_shipdate>=timestamp '1998-01-01 00:00:00' then '1.03' else '3' end end,
     case l_linenumber
       when 1 then case when l_shipdate>=timestamp '1998-01-01 00:00:00' then '4.01' else '4' end
@@ -58,14 +58,14 @@ select o_custkey as cik, cast(l_shipdate as date) as filing_date_8k,
       when 3 then '2.04' when 4 then '2.06' when 5 then '3.01' when 6 then '4.02' else '8.01' end,
     '9.01') as items,
   concat(cast(l_orderkey as string),'-',cast(l_linenumber as string)) as accession
-from {lineitem} join {orders} on l_orderkey = o_orderkey where l_suppkey % 4 = 0
+from {lineitem} join {orders} on l_orderkey = o_orderkey
 """
 
 ENFORCEMENT = """
 select o_custkey as cik, cast(date_trunc('month', o_orderdate) as date) as m0,
-  case when o_orderkey % 3 = 0 then 0 else 1 end as fsf,
+  case when o_orderpriority='1-URGENT' and o_orderkey % 20 = 0 and o_orderkey % 3 <> 0 then 1 else 0 end as fsf,
   case when o_orderkey % 7 = 0 then 1 else 0 end as revoked
-from {orders} where o_orderpriority='1-URGENT' and o_orderkey % 20 = 0
+from {orders}
 """
 
 # Scores with many ties: 1009 and 1013 distinct values.

@@ -187,10 +187,10 @@ def _(w):
     """select doc_id, case doc_id % 5 when 0 then (doc_id % 10)/10.0e0 when 3 then 0.1e0 else 0.5e0 end as vagueness,
     case doc_id % 5 when 0 then 0.9e0 when 3 then 0.5e0 else 0.0e0 end as confidence,
     case doc_id % 5 when 0 then -0.5e0 when 3 then 1.0e0 else 0.0e0 end as sentiment,
-    case when doc_id % 5 = 0 then 600 when doc_id % 5 = 3 then length(text)
+    case when doc_id % 5 = 0 then 600 when doc_id % 5 = 3 then least(length(text), 600)
       else length('[fallback] unavailable') end as n_summary,
     case when doc_id % 5 in (0) then 8 else 0 end as n_terms
-    from documents where not (doc_id % 5 = 3 and length(text) > 600)""",
+    from documents""",
 )
 def _(w):
     d = F.col("doc_id")
@@ -225,8 +225,7 @@ def _(w):
         F.when(d % 5 == 0, full).when(d % 5 == 1, too_high).when(d % 5 == 2, F.lit("not json"))
         .when(d % 5 == 3, plain).otherwise(partial)
     )
-    rows = w.documents.where(~((d % 5 == 3) & (F.length("text") > 600)))
-    out = rows.select("doc_id", tx.validated_profile(json).alias("p"))
+    out = w.documents.select("doc_id", tx.validated_profile(json).alias("p"))
     return out.select(
         "doc_id",
         F.col("p.vagueness_score").alias("vagueness"),

@@ -70,10 +70,10 @@ def metrics_of_counts(
 def brier_skill(
     df: DataFrame, by: Sequence[str] = (), *, score: str = "p", label: str = "y", reference: float | None = None
 ) -> DataFrame:
-    """brier and brier_skill against a constant (the base rate by default)."""
+    """brier and brier_skill of scored rows against a constant (their base rate by default)."""
     y = F.col(label).cast("double")
     base = F.avg(y)
-    sums = df.groupBy(*by).agg(
+    sums = df.where(F.col(score).isNotNull()).groupBy(*by).agg(
         F.avg(F.pow(F.col(score) - y, 2)).alias("brier"), base.alias("_base")
     )
     ref = F.col("_base") if reference is None else F.lit(float(reference))
@@ -193,13 +193,14 @@ def decile_table(
 def reliability_table(
     df: DataFrame, by: Sequence[str] = (), *, score: str = "p", label: str = "y", n_bins: int = 10
 ) -> DataFrame:
-    """Equal-width score bins, right-closed, the first including 0; empty bins left out."""
+    """Equal-width score bins of scored rows, right-closed, the first including 0; empty bins left out."""
     edges = [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
     p = F.col(score)
     index = sum((F.when(p > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
     bounds = F.array(*[F.lit(e) for e in edges])
     return (
-        df.groupBy(*by, (index + 1).alias("bin"))
+        df.where(p.isNotNull())
+        .groupBy(*by, (index + 1).alias("bin"))
         .agg(
             F.count("*").alias("n"),
             F.avg(score).alias("avg_p"),

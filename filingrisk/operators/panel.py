@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingrisk.functions import dates
+from filingrisk.functions.ids import content_id
 from filingrisk.operators.ordered import keep_first
-from filingrisk.policy import MIN_FYEAR, TEXT_ALIASES
+from filingrisk.policy import TEXT_ALIASES
 
 
 def join_panel(df: DataFrame, panel: DataFrame, keys: Sequence[str] = ("cik", "fyear")) -> DataFrame:
@@ -34,7 +35,7 @@ def fill_from_local(panel: DataFrame, local: DataFrame, columns: Sequence[str])
     return joined.withColumns(filled).drop(*[f"{c}_loc" for c in wanted])
 
 
-def from_year(df: DataFrame, min_fyear: int | None = MIN_FYEAR) -> DataFrame:
+def from_year(df: DataFrame, min_fyear: int | None) -> DataFrame:
     """Rows of `min_fyear` and later; rows without a numeric year go."""
     if min_fyear is None or "fyear" not in df.columns:
         return df
@@ -88,7 +89,7 @@ def normalise_scoring_input(df: DataFrame) -> DataFrame:
         elif cik is not None and "fyear" in out.columns:
             made = F.concat_ws("_", cik, F.col("fyear").cast("string"))
         else:
-            made = F.concat(F.lit("row_"), F.monotonically_increasing_id().cast("string"))
+            made = F.concat(F.lit("row_"), content_id(out))
         out = out.withColumn("doc_id", made)
     if "name" not in out.columns:
         known = F.col("cik").cast("string") if "cik" in out.columns else F.lit("unbekannt")

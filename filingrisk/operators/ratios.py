@@ -117,11 +117,12 @@ def industry_group(sic: Column) -> Column:
 
 
 def industry_percentiles(
-    df: DataFrame, *, row_id: str = "doc_id", peers: DataFrame | None = None
+    df: DataFrame, *, peers: DataFrame | None = None
 ) -> tuple[DataFrame | None, list[str]]:
-    """(row_id, percentiles): average rank of four ratios within industry and year.
+    """Average rank of four ratios within industry and year, per distinct values.
 
-    NULL for fewer than five values in the cell, and for rows without a value,
+    One row for each combination of industry, year and ratios in `df`, so rows
+    need no id. NULL for fewer than five values in the cell, and without a value,
     industry or year. `peers` (sic, fyear and the ratios) widens the comparison
     group beyond the rows of `df`, for instance when one firm is scored.
     """
@@ -131,22 +132,16 @@ def industry_percentiles(
         return None, []
     cell = ["ratio", "sic2", "fyear"]
 
-    def melted(source: DataFrame, *keep: str) -> DataFrame:
+    def melted(source: DataFrame) -> DataFrame:
         values = F.explode(
             F.array(*[F.struct(F.lit(b).alias("ratio"), F.col(b).alias("v")) for b in bases])
         )
         return (
-            source.select(
-                *keep,
-                industry_group(F.col("sic")).alias("sic2"),
-                F.col("fyear").cast("double").alias("fyear"),
-                values.alias("_m"),
-            )
-            .select(*keep, "sic2", "fyear", "_m.ratio", "_m.v")
+            source.select(*_industry_cell(), values.alias("_m"))
+            .select("sic2", "fyear", "_m.ratio", "_m.v")
             .where("v IS NOT NULL AND sic2 IS NOT NULL AND fyear IS NOT NULL")
         )
 
-    rows = melted(df, row_id)
     pool = melted(df)
     if peers is not None:
         pool = pool.unionByName(melted(peers))
@@ -159,25 +154,35 @@ def industry_percentiles(
         (F.col("n_before") + (F.col("n") + 1) / 2) / F.col("n_total"),
     )
     ranks = totals.select(*cell, "v", pct.alias("pct"))
-    per_row = (
-        rows.join(ranks, [*cell, "v"])
-        .groupBy(row_id)
-        .agg(
-            *[
-                F.max(F.when(F.col("ratio") == b, F.col("pct"))).alias(name)
-                for b, name in zip(bases, names)
-            ]
-        )
-    )
-    return per_row, names
+    out = df.select(*_industry_cell(), *bases).distinct()
+    for b, name in zip(bases, names):
+        own = ranks.where(F.col("ratio") == b).select("sic2", "fyear", F.col("v").alias(b), F.col("pct").alias(name))
+        out = out.join(own, ["sic2", "fyear", b], "left")
+    return out.select("sic2", "fyear", *bases, *names), names
+
+
+def _industry_cell() -> tuple[Column, Column]:
+    return industry_group(F.col("sic")).alias("sic2"), F.col("fyear").cast("double").alias("fyear")
+
+
+def _join_percentiles(df: DataFrame, percentiles: DataFrame, names: list[str]) -> DataFrame:
+    """The percentiles to every row with the same industry, year and ratios, NULL ones included."""
+    bases = [n.removesuffix("_sic_pct") for n in names]
+    keyed = percentiles.select(*[F.col(c).alias(f"_k_{c}") for c in ("sic2", "fyear", *bases)], *names)
+    sic2, fyear = _industry_cell()
+    own = df.withColumns({"_sic2": sic2, "_fyear": fyear})
+    same = own["_sic2"].eqNullSafe(keyed["_k_sic2"]) & own["_fyear"].eqNullSafe(keyed["_k_fyear"])
+    for b in bases:
+        same = same & own[b].eqNullSafe(keyed[f"_k_{b}"])
+    return own.join(keyed, same, "left").drop("_sic2", "_fyear", *[c for c in keyed.columns if c.startswith("_k_")])
 
 
 def add_industry_percentiles(
-    df: DataFrame, *, row_id: str = "doc_id", peers: DataFrame | None = None
+    df: DataFrame, *, peers: DataFrame | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Adds the industry percentiles to every row."""
-    per_row, names = industry_percentiles(df, row_id=row_id, peers=peers)
-    return (df if per_row is None else df.join(per_row, row_id, "left")), names
+    """Adds the industry percentiles to every row; row ids play no part."""
+    percentiles, names = industry_percentiles(df, peers=peers)
+    return (df if percentiles is None else _join_percentiles(df, percentiles, names)), names
 
 
 def missing_flags(names: list[str]) -> dict[str, Column]:
@@ -212,9 +217,9 @@ def add_financial_features(
         if peers is not None:
             peers = peers.withColumns(base_ratios(peers))
         # From the level ratios, so the trend windows are not part of this branch.
-        per_row, percentiles = industry_percentiles(base, row_id=row_id, peers=peers)
-        if per_row is not None:
-            out = out.join(per_row, row_id, "left")
+        ranked, percentiles = industry_percentiles(base, peers=peers)
+        if ranked is not None:
+            out = _join_percentiles(out, ranked, percentiles)
         names += percentiles
     if include_missing and names:
         flags = missing_flags(names)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingrisk import policy
+from filingrisk.functions.ids import content_id
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,9 @@ def resolve_roles(
 ) -> tuple[DataFrame, Roles]:
     """Label, id, text and year columns: the named one, else the first known name.
 
-    A label is required. Without an id column, doc_id becomes cik_year, or a
-    generated row number where those are missing too.
+    A label is required. Without an id column, doc_id becomes cik_year, or a hash
+    of the row where either is missing. Filings of one firm and year share the
+    former, equal rows the latter.
     """
     label_col = _choose(df, label, policy.LABEL_COLUMNS, "label")
     if label_col is None:
@@ -49,9 +51,10 @@ def resolve_roles(
     if id_col is None:
         id_col = "doc_id"
         if "cik" in df.columns and year_col is not None:
-            made = F.concat_ws("_", F.col("cik").cast("string"), F.col(year_col).cast("string"))
+            made = F.concat(F.col("cik").cast("string"), F.lit("_"), F.col(year_col).cast("string"))
+            made = F.coalesce(made, content_id(df))
         else:
-            made = F.monotonically_increasing_id().cast("string")
+            made = content_id(df)
         df = df.withColumn(id_col, made)
     return df, Roles(label_col, id_col, text_col, year_col)
 

@@ -229,5 +229,5 @@ def calibration_folds(
                 0 < r["p"] < p and 0 < r["q"] < q for r in per_fold
             ):
                 return folded, k, True
-    k = max(2, min(n_splits, 3))
+    k = max(2, n_splits)
     return dealt(row_id, k), k, False

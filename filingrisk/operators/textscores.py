@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingrisk import policy
@@ -32,6 +32,11 @@ def prepared_texts(
     )
 
 
+def raw_hash(text: Column) -> Column:
+    """A cheap key of the text as it came; null is a text of its own."""
+    return F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("")), 256)
+
+
 def distinct_texts(prepared: DataFrame) -> DataFrame:
     """(text_hash, prepared), one row per distinct text."""
     return keep_first(prepared.select("text_hash", "prepared"), ["text_hash"], ["text_hash"])
@@ -49,11 +54,11 @@ def heuristic_profiles(texts: DataFrame, text_col: str = "prepared") -> DataFram
     return tokens.withColumn("profile", profile).drop("_toks", "_nsent", "_top")
 
 
-def scored_by(texts: DataFrame, scorer: Scorer) -> DataFrame:
+def scored_by(texts: DataFrame, scorer: Scorer, *, keep_fallbacks: bool = True) -> DataFrame:
     """(text_hash, profile) from an injected scorer, one call per text.
 
     A text whose call fails, or whose profile is out of range, gets the
-    fallback profile; the job goes on.
+    fallback profile, or is left out; the job goes on.
     """
 
     # Plain locals, so executors need no import of this package.
@@ -79,7 +84,7 @@ def scored_by(texts: DataFrame, scorer: Scorer) -> DataFrame:
                     errors.append(None)
                 except Exception as exc:  # one bad text must not end the job
                     profiles.append(None)
-                    errors.append(str(exc)[:120])
+                    errors.append(str(exc))
             yield pd.DataFrame(
                 {"text_hash": batch["text_hash"], "profile": profiles, "error": errors}
             )
@@ -88,6 +93,8 @@ def scored_by(texts: DataFrame, scorer: Scorer) -> DataFrame:
     scored = texts.select("text_hash", "prepared").mapInPandas(run, schema)
     reason = F.coalesce("error", F.lit("profile out of range"))
     usable = tx.profile_is_valid(F.col("profile"))
+    if not keep_fallbacks:
+        return scored.where(usable).select("text_hash", "profile")
     return scored.select(
         "text_hash",
         F.when(usable, F.col("profile")).otherwise(tx.fallback_profile(reason)).alias("profile"),
@@ -112,19 +119,27 @@ def text_features(
     `cache` (text_hash, profile) does not know it. Equal texts share the result
     by hash, so only hashes travel back to the documents.
     """
-    prepared = prepared_texts(df, text_col, id_col, max_chars=max_chars, entities=entities)
-    texts = distinct_texts(prepared)
-    if cache is not None:
-        texts = texts.join(cache.select("text_hash"), "text_hash", "left_anti")
-    if scorer is None:
-        profiles = heuristic_profiles(texts).select("text_hash", "profile")
+    raw = raw_hash(F.col(text_col))
+    distinct = df.select(raw.alias("raw_hash"), text_col).dropDuplicates(["raw_hash"])
+    # Cleaned once for each distinct text; documents come back by the raw hash.
+    texts = prepared_texts(distinct, text_col, "raw_hash", max_chars=max_chars, entities=entities)
+    if scorer is None and cache is None:
+        profiles = heuristic_profiles(texts).select("raw_hash", "profile")
     else:
-        profiles = scored_by(texts, scorer)
-    if cache is not None:
-        profiles = profiles.unionByName(cache.select("text_hash", "profile"))
+        keyed = texts.select("raw_hash", "text_hash")
+        open_texts = distinct_texts(texts)
+        if cache is not None:
+            open_texts = open_texts.join(cache.select("text_hash"), "text_hash", "left_anti")
+        if scorer is None:
+            found = heuristic_profiles(open_texts).select("text_hash", "profile")
+        else:
+            found = scored_by(open_texts, scorer)
+        if cache is not None:
+            found = found.unionByName(cache.select("text_hash", "profile"))
+        profiles = keyed.join(found, "text_hash", "left").select("raw_hash", "profile")
     # Repeated ids have one text each or share it; the first one stands.
-    ids = keep_first(prepared.select(id_col, "text_hash"), [id_col], ["text_hash"])
-    return ids.join(profiles, "text_hash", "left").select(
+    ids = keep_first(df.select(id_col, raw.alias("raw_hash")), [id_col], ["raw_hash"])
+    return ids.join(profiles, "raw_hash", "left").select(
         id_col, *tx.profile_features(F.col("profile"), prefix, summary=summary)
     )
 

@@ -164,15 +164,22 @@ WEIGHT_TEXT = 0.4
 
 @dataclass(frozen=True)
 class SamplePolicy:
-    """How a modelling sample is labelled and filtered; stored with each model."""
+    """How a modelling sample is labelled and filtered; stored with each model.
+
+    By default no row is left out; FROZEN_POLICY has the cuts of the frozen samples.
+    """
 
     label_source: str = "default"
     horizon_months: int = 12
     trust_legacy_regime: bool = False
     regime_switch: date = REGIME_SWITCH
-    min_fyear: int | None = MIN_FYEAR
-    require_financials: bool = True
+    min_fyear: int | None = None
+    require_financials: bool = False
     window_days: int = 365
     test_size: float = 0.2
     seed: int = 42
     item_codes: dict[str, tuple[str, str | None]] = field(default_factory=lambda: dict(ITEM_CODES))
+
+
+#: The sample of the frozen and rolling evaluations.
+FROZEN_POLICY = SamplePolicy(min_fyear=MIN_FYEAR, require_financials=True)

@@ -24,10 +24,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named."""
+    """The cluster's shared checkpoint folder; in local mode a new one where none is named."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="filingrisk-ckpt-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

@@ -44,19 +44,40 @@ def parse_lines(lines: DataFrame, contains: str | None = None) -> DataFrame:
     )
 
 
+def whole_array_files(lines: DataFrame) -> list[str]:
+    """Files that are one JSON array over any line breaks, not a record per line.
+
+    Told by a line that opens an array together with a record, or holds a bare
+    opening brace; line-wise files have neither. One row per file comes back.
+    """
+    text = F.trim("value")
+    opens = text.rlike(r"^\[\s*[^\s\]]") | text.isin("{")
+    return [r["_file"] for r in lines.where(opens).select("_file").distinct().collect()]
+
+
 def read_firm_years(spark: SparkSession, path: str, *, contains: str | None = None) -> DataFrame:
-    """Raw firm-years of a line-wise JSON array; bad lines are dropped."""
-    return parse_lines(read_lines(spark, path), contains).where("parsed").drop("parsed")
+    """Raw firm-years of JSON arrays, with a record per line or not; bad lines are dropped."""
+    lines = read_lines(spark, path)
+    whole = whole_array_files(lines)
+    by_line = lines.where(~F.col("_file").isin(whole)) if whole else lines
+    rows = parse_lines(by_line, contains).where("parsed").drop("parsed")
+    if not whole:
+        return rows
+    records = read_json_array(spark, whole)
+    if contains is not None:
+        records = records.where(F.to_json(F.struct(*[f.name for f in FIRM_YEAR_RAW])).contains(contains))
+    return rows.unionByName(records)
 
 
 def count_bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """How many record lines were read and how many could not be parsed."""
-    return parse_lines(read_lines(spark, path)).agg(
+    """How many record lines were read and how many could not be parsed, in files with a record per line."""
+    lines = read_lines(spark, path)
+    return parse_lines(lines.where(~F.col("_file").isin(whole_array_files(lines)))).agg(
         F.count("*").alias("n_lines"), F.count_if(~F.col("parsed")).alias("n_bad")
     )
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw firm-years of files that are one JSON array (not line-wise)."""
     return (
         spark.read.schema(FIRM_YEAR_RAW)

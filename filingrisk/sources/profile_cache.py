@@ -14,11 +14,19 @@ def read_cache(spark: SparkSession, path: str, namespace: str) -> DataFrame:
     """The newest valid profile per text hash; an unusable entry counts as a miss."""
     rows = spark.read.parquet(path).where(F.col("namespace") == namespace)
     valid = rows.where(text.profile_is_valid(F.col("profile")))
-    return keep_first(valid, ["text_hash"], [F.col("written_at").desc()]).select(
+    # Of profiles written at one time the first by its text stands.
+    newest = [F.col("written_at").desc(), F.to_json("profile")]
+    return keep_first(valid, ["text_hash"], newest).select(
         "text_hash", "profile"
     )
 
 
+def has_cache(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been written to a cache path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_cache(profiles: DataFrame, path: str, namespace: str) -> None:
     """Append (text_hash, profile) rows; re-scored hashes win by their later time."""
     profiles.select(
