@@ -145,6 +145,28 @@ def _(w):
     return rounded(out, ("p_lo", "p_hi", "avg_p", "event_rate"))
 
 
+@query(
+    "ev7_reliability_null_scores",
+    f"""{PRED}, e as (select *, {' + '.join(f'cast(p > {i * 0.1!r} as int)' for i in range(1, 10)).replace('> 0.', '> 0.')} + 1 as bin
+      from fx_pred where row_id % 4 <> 0)
+    select bin, count(*) as n, round(avg(p), 8) as avg_p, round(avg(cast(y as double)), 8) as event_rate from e group by bin""",
+)
+def _(w):
+    gaps = w.predictions.withColumn("p", F.when(F.col("row_id") % 4 != 0, F.col("p")))
+    out = evaluation.reliability_table(gaps).select("bin", "n", "avg_p", "event_rate")
+    return rounded(out, ("avg_p", "event_rate"))
+
+
+@query(
+    "ev2_brier_skill_null_scores",
+    f"""{PRED}, s as (select avg((p-y)*(p-y)) as b, avg(cast(y as double)) as r from fx_pred where row_id % 4 <> 0)
+    select round(b, 8) as brier, round(1 - b/(r*(1-r)), 8) as brier_skill from s""",
+)
+def _(w):
+    gaps = w.predictions.withColumn("p", F.when(F.col("row_id") % 4 != 0, F.col("p")))
+    return rounded(evaluation.brier_skill(gaps), ("brier", "brier_skill"))
+
+
 _OVERLAP = """s as (select cik, bool_or(is_train) as tr, bool_or(not is_train) as te from fx_pred where cik is not null group by cik)
 select count(*) filter (tr) as n_train_firms, count(*) filter (te) as n_test_firms, count(*) filter (tr and te) as n_overlap_firms,
   count(*) filter (te and not tr) as n_new_test_firms,
@@ -259,11 +281,28 @@ def _(w):
     return rounded(out, _CIS).drop("n_boot")
 
 
-@query("ev9_poisson_bootstrap")
+def _poisson_sql(seed: int, n_boot: int) -> str:
+    """Weights from the same hash: how many cumulative Poisson(1) terms it reaches."""
+    steps, term, total = [], 0.36787944117144233, 0.0
+    for k in range(18):
+        total += term
+        steps.append(f"cast(u >= {total!r} as int)")
+        term /= k + 1
+    return f"""u as (select rep, cik, cast(concat('0x', substr(md5(concat_ws('|', '{seed}', cast(rep as varchar), cast(cik as varchar))), 1, 12)) as bigint)
+        / cast(281474976710656 as double) as u from (select distinct cik from fx_pred), range(1, {n_boot} + 1) t(rep)),
+    w as (select rep, cik, {" + ".join(steps)} as w from u union all select 0, cik, 1 from (select distinct cik from fx_pred))"""
+
+
+@query(
+    "ev9_poisson_bootstrap",
+    f"""{PRED},{_poisson_sql(42, N_BOOT)},{_boot_sql('p')},
+    v as (select rep, 'roc_auc' as metric, area/(np*nn) as value from a union all select rep, 'gini', 2*(area/(np*nn)) - 1 from a) {_CI}""",
+)
 def _(w):
-    return bootstrap.cluster_bootstrap_ci(
+    out = bootstrap.cluster_bootstrap_ci(
         w.predictions,
         n_boot=N_BOOT,
         method="poisson",
         metrics={"roc_auc": "roc_auc", "gini": 2 * F.col("roc_auc") - 1},
     )
+    return rounded(out, _CIS).drop("n_boot")

@@ -200,6 +200,18 @@ def _(w):
     return out.select("doc_id", *_rounded(names))
 
 
+@query(
+    "wn4_percentile_repeated_ids",
+    f"{with_views('fx_firm_year')},{_ratio_cte('fx_firm_year')},{_pct_sql('r')} select cik, fyear, 'same' as doc_id, "
+    + ", ".join(f"round({b}_sic_pct, 9) as {b}_sic_pct" for b in sorted(PCT))
+    + " from q",
+)
+def _(w):
+    rows = w.stored_firm_years.withColumn("doc_id", F.lit("same"))
+    out, names = ratios.add_industry_percentiles(rows.withColumns(ratios.base_ratios(rows)))
+    return out.select("cik", "fyear", "doc_id", *_rounded(names))
+
+
 ALL_FEATURES = [*SQL_RATIOS, *TREND_NAMES, *[f"{b}_sic_pct" for b in sorted(PCT)]]
 
 

@@ -82,6 +82,23 @@ def _(w):
     )
 
 
+@query(
+    "src1_whole_json_array",
+    f"{RAW} select cik, name, sic, filing_type, filing_date, reporting_date, md5(mda) as digest from fx_raw",
+)
+def _(w):
+    # A third of the filings as whole arrays, one per file and several records a line; the rest line-wise.
+    path = scratch(w, "mixed")
+    fields = F.to_json(F.struct(*[c for c in w.raw_filings.columns if c != "line_no"]))
+    rows = w.raw_filings.select("line_no", fields.alias("j"))
+    third = F.col("line_no") % 3 == 0
+    arrays = rows.where(third).groupBy(F.floor(F.col("line_no") / 300)).agg(F.array_join(F.collect_list("j"), ", ").alias("j"))
+    arrays.select(F.concat(F.lit("["), "j", F.lit("]")).alias("value")).repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    rows.where(~third).select(F.concat("j", F.lit(",")).alias("value")).write.mode("append").text(path)
+    raw = firm_years.read_firm_years(w.spark, path)
+    return raw.select("cik", "name", "sic", "filing_type", "filing_date", "reporting_date", F.md5("mda").alias("digest"))
+
+
 @query("src1_bad_line_count", "select count(*) + 1 as n_lines, 1 as n_bad from documents")
 def _(w):
     return firm_years.count_bad_lines(w.spark, _write_line_array(w, "bad"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
+from catalog.sources import scratch
 from filingrisk import policy
 from filingrisk.functions import text as tx
 from filingrisk.operators import textscores
+from filingrisk.plans import jobs
 from filingrisk.schemas import PROFILE
 from filingrisk.sources import profile_cache
 
@@ -247,9 +249,43 @@ def _(w):
     return out.select("doc_id", "t_risk_sentiment", "t_confidence")
 
 
-@query("txt12_injected_scorer")
+_SHARE = "least(length(t), 10000)/10000.0e0"
+_BY_LENGTH = f"""round(case when length(t) < 50 then 0.5e0 else {_SHARE} end, 9) as llm_vagueness_score,
+    round(case when length(t) < 50 then 0.5e0 else 1 - {_SHARE} end, 9) as llm_complexity_score,
+    case when length(t) < 50 then 0.0e0 else 0.8e0 end as llm_confidence"""
+
+
+@query("txt12_injected_scorer", f"with {PREPARED} select doc_id, {_BY_LENGTH} from prep")
+def _(w):
+    out = textscores.text_features(w.documents, text_col="text", scorer=_length_scorer(), entities=False)
+    return _by_length(out)
+
+
+@query(
+    "txt12_precomputed_cache",
+    f"""with {PREPARED} select doc_id, case when length(t) < 50 then null else round({_SHARE}, 9) end as llm_vagueness_score,
+    case when length(t) < 50 then null else round(1 - {_SHARE}, 9) end as llm_complexity_score,
+    case when length(t) < 50 then null else 0.8e0 end as llm_confidence, 0 as n_misses from prep""",
+)
 def _(w):
-    return textscores.text_features(w.documents, text_col="text", scorer=_length_scorer())
+    """The second run scores nothing: its scorer fails on every text."""
+    path = scratch(w, "precomputed")
+    jobs.precompute_text(w.documents, _length_scorer(), path, "length", text_col="text", entities=False)
+    before = profile_cache.read_cache(w.spark, path, "length").count()
+
+    def none(_body):
+        raise ValueError("not asked")
+
+    again = jobs.precompute_text(w.documents, none, path, "length", text_col="text", entities=False)
+    misses = profile_cache.read_cache(w.spark, path, "length").count() - before
+    return _by_length(again).withColumn("n_misses", F.lit(misses).cast("int"))
+
+
+def _by_length(out):
+    return out.select(
+        "doc_id", F.round("llm_vagueness_score", 9).alias("llm_vagueness_score"),
+        F.round("llm_complexity_score", 9).alias("llm_complexity_score"), "llm_confidence",
+    )
 
 
 def _length_scorer():

@@ -189,3 +189,10 @@ def test_score_arithmetic(spark):
         scoring.EnsembleWeights(0, 0).normalised()
     with pytest.raises(ValueError):
         scoring.combine_probabilities(F.lit(0.1), F.lit(0.1), method="max")
+
+
+def test_rows_without_score_are_left_out(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, None)], "y int, p double")
+    assert [r["n"] for r in evaluation.reliability_table(df).collect()] == [1, 1]
+    bundle, own = evaluation.metric_bundle(df).first(), evaluation.brier_skill(df).first()
+    assert own["brier_skill"] == pytest.approx(bundle["brier_skill"])

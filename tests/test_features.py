@@ -179,3 +179,16 @@ def test_search(spark):
 def test_require_financials_needs_the_column(spark):
     with pytest.raises(KeyError):
         panel.require_financials(table(spark, [(1,)], "cik long"))
+
+
+def test_percentiles_do_not_go_by_id(spark):
+    rows = [("same" if i < 2 else f"d{i}", i, 2000, 3711, 10.0, float(i + 1), 1.0) for i in range(8)]
+    df = table(spark, rows, SCHEMA).withColumn("fin_leverage", F.col("total_liabilities") / F.col("total_assets"))
+    out, _ = ratios.add_industry_percentiles(df)
+    assert [r["fin_leverage_sic_pct"] for r in out.orderBy("cik").collect()] == [(i + 1) / 8 for i in range(8)]
+
+
+def test_ids_come_from_content(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 1, "b"), (5, 2000, "c")], "cik long, fyear int, name string").withColumn("label", F.lit(0))
+    first, again = ({r["name"]: r["doc_id"] for r in resolve_roles(df.repartition(n))[0].collect()} for n in (1, 3))
+    assert first == again and len(set(first.values())) == 3 and first["c"] == "5_2000"

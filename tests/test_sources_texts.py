@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from filingrisk import policy
 from filingrisk.functions import text as tx
 from filingrisk.operators import textscores
+from filingrisk.plans import jobs
 from filingrisk.sources import facts, firm_years, profile_cache, submissions, tables
 
 
@@ -180,3 +181,36 @@ def test_repeated_feature_ids_do_not_multiply_rows(spark):
     left = spark.createDataFrame([("a",), ("b",)], "doc_id string")
     right = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "doc_id string, x double")
     assert textscores.join_text_features(left, right).count() == 2
+
+
+def test_each_file_gets_its_reader(spark, tmp_path):
+    """An array on one line, one printed with indents, and one with a record per line."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    made = [record(i, "31-12-2005", "x" * 250) for i in range(1, 8)]
+    (folder / "one.json").write_text(json.dumps(made[:3]))
+    (folder / "pretty.json").write_text(json.dumps(made[3:5], indent=2))
+    write_array(folder / "lines.json", made[5:], ["{broken"])
+    raw = firm_years.read_firm_years(spark, str(folder))
+    assert sorted(int(r["cik"]) for r in raw.collect()) == list(range(1, 8))
+    assert firm_years.count_bad_lines(spark, str(folder)).first().asDict() == {"n_lines": 3, "n_bad": 1}
+
+
+def test_precompute_scores_each_text_once(spark, tmp_path):
+    calls, path = spark.sparkContext.accumulator(0), str(tmp_path / "cache")
+    df = spark.createDataFrame([(1, "good text"), (2, "good text"), (3, "bad")], "doc_id long, mda string")
+
+    def scorer(body):
+        calls.add(1)
+        if body == "bad":
+            raise ValueError("no answer")
+        return {"vagueness_score": 0.5, "redundancy_score": 0.5, "complexity_score": 0.5, "risk_sentiment": 0.0}
+
+    def run(**options):
+        rows = jobs.precompute_text(df, scorer, path, "m", **options).collect()
+        return calls.value, {r["doc_id"]: r["llm_vagueness_score"] for r in rows}
+
+    want = {1: 0.5, 2: 0.5, 3: None}
+    assert run() == (2, want)
+    assert run() == (3, want)  # only the failed text is asked again
+    assert run(refresh=True) == (5, want)
