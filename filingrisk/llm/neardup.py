@@ -201,7 +201,6 @@ def connected(edges: DataFrame) -> DataFrame:
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = large.distinct()
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w"))
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
