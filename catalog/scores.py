@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from catalog.evaluation import bundle_sql, rounded
 from catalog.fixtures import with_views
 from catalog.registry import query
+from catalog.sources import scratch
 from filingrisk import policy
 from filingrisk.operators import evaluation, panel, scoring
+from filingrisk.plans import jobs
 
 PRED = with_views("fx_pred")
 YEARS = with_views("fx_firm_year")
@@ -240,3 +242,20 @@ def _(w):
     )
     out = panel.normalise_scoring_input(raw)
     return out.select("cik", "fyear", "reporting_date", "doc_id", "name", "label", F.length("mda").alias("n"))
+
+
+@query(
+    "src12_json_scoring_input",
+    f"{YEARS} select doc_id, cik, fyear, name, sic, cast(total_assets as bigint) as total_assets, 0 as label from fx_firm_year",
+)
+def _(w):
+    """Lists of several firms in one file each, and files with one object."""
+    path = scratch(w, "firms") + ".json"
+    fields = F.to_json(F.struct("doc_id", "cik", "fyear", "name", "sic", "total_assets"))
+    rows = w.stored_firm_years.select("cik", fields.alias("j"))
+    single = F.col("cik") % 100 == 1
+    lists = rows.where(~single).groupBy(F.floor(F.col("cik") / 20)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    for part in (lists.select("value"), rows.where(single).select(F.col("j").alias("value"))):
+        part.coalesce(4).write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    out = jobs.read_scoring_input(w.spark, path)
+    return out.select("doc_id", "cik", "fyear", "name", F.col("sic").cast("int").alias("sic"), F.col("total_assets").cast("long").alias("total_assets"), "label")

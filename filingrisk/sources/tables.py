@@ -28,10 +28,11 @@ def read_csv(
     return normal_headers(raw)
 
 
-def read_dataset(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """The modelling dataset from `.parquet`, `.csv` or `.csv.gz`.
 
-    Its CSV form may hold filing text with line breaks, see `read_csv`.
+    If its CSV form holds filing text with line breaks, ask for `multi_line`,
+    see `read_csv`.
     """
     name = path.rstrip("/").lower()
     if name.endswith(".json"):
@@ -61,6 +62,13 @@ def type_dataset(df: DataFrame) -> DataFrame:
     return df.withColumns(typed) if typed else df
 
 
+def read_scoring_rows(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """Firm rows to be scored: as read_dataset, or `.json` files of a list or a single object."""
+    if not path.rstrip("/").lower().endswith(".json"):
+        return read_dataset(spark, path, multi_line=multi_line)
+    return normal_headers(spark.read.option("multiLine", True).json(path))
+
+
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
     """The (cik, fyear) financial panel from CSV or Parquet."""
     if path.rstrip("/").lower().endswith((".csv", ".csv.gz", ".gz")):

@@ -58,7 +58,7 @@ def test_dataset_formats(spark, tmp_path):
     plain = tmp_path / "d.csv.gz"
     with gzip.open(plain, "wt", encoding="utf-8") as out:
         out.write('CIK, Fyear ,mda,total_assets\n1,2005,"two\nlines, ""quoted""",12.5\nx,2006,t,nan\n')
-    rows = tables.read_dataset(spark, str(plain)).orderBy("fyear").collect()
+    rows = tables.read_dataset(spark, str(plain), multi_line=True).orderBy("fyear").collect()
     assert rows[0]["mda"] == 'two\nlines, "quoted"' and rows[0]["total_assets"] == 12.5
     assert rows[1]["cik"] is None and rows[1]["total_assets"] is None
     with pytest.raises(ValueError):
