@@ -4,8 +4,8 @@ Equal sets are one node. Nodes that share a band are compared along stars, with
 the smallest node of the bucket and then with a member of its largest component;
 verified links make components. What stars cannot settle, members of a bucket that are
 still in different components, is compared in blocks inside tasks, which send
-on only pairs that the posterior does not rule out. Every surviving pair that
-could join two components is verified on the full sets.
+on links only. Every pair that the posterior does not rule out and that could
+join two components is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ BANDS, ROWS = 64, 8
 CHECKED, BATCH = 512, 64
 #: Chance at most that a linked pair is ruled out at one batch.
 MISS = 1e-6
-#: Members of a bucket in one task; more are dealt to several.
-BLOCK = 4096
+#: Members of a group in one block; more are dealt to several.
+BLOCK = 1024
 
 _SEEDS = np.random.default_rng(20240229)
 _FACTORS = _SEEDS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -141,35 +141,56 @@ def _sift_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFr
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint, matches bigint")
 
 
-def _sift_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, matches) of pairs within a group but of different components that stay.
+def _link_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links between different components of a group, enough to join what is linked.
 
-    members has grp, chunk, asks, node, comp, sig: rows that ask (asks true) are
-    compared with the rows of their chunk that do not. A task holds the rows of
-    one chunk, at most about BLOCK, and one batch of rows that ask.
+    members has grp, chunk, asks, node, comp, sig, shingles: rows that ask (asks
+    true) are compared with the rows of their chunk that do not, first by
+    signature, then on the full sets. Pairs whose components this chunk has
+    joined already are passed over. A task holds the rows of one chunk, at most
+    about BLOCK, and one batch of rows that ask.
     """
     ship_package(members.sparkSession)
-    least, schema = least_matches(percent), arrow_schema("a bigint, b bigint, matches bigint")
+    least, schema = least_matches(percent), arrow_schema("a bigint, b bigint")
 
     def run(batches):
-        key, held, table = None, [], None
+        key, held, table, joined = None, [], None, {}
+
+        def root(comp):
+            while joined.get(comp, comp) != comp:
+                comp = joined[comp]
+            return comp
+
+        def unpack(rows):
+            sets = [np.frombuffer(x, dtype="<u8") for x in rows.column(6).to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            return rows.column(3).to_numpy(), rows.column(4).to_numpy(), _matrix(rows.column(5)), sets, sizes
 
         def compare(rows: pa.RecordBatch):
             nonlocal table
             if not held:
                 return
             if table is None:
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                table = (whole.column(3).to_numpy(), whole.column(4).to_numpy(), _matrix(whole.column(5)))
-            nodes, comps, sigs = table
+                table = unpack(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            nodes, comps, sigs, sets, sizes = table
+            node, comp, sig, own, lengths = unpack(rows)
             step = max(1, (1 << 16) // len(nodes))
-            node, comp, sig = rows.column(3).to_numpy(), rows.column(4).to_numpy(), _matrix(rows.column(5))
+            links = []
             for at in range(0, len(node), step):
-                i, j = np.nonzero(comp[at : at + step, None] != comps[None, :])
-                if len(i):
-                    stay, matches = sift(sig[at + i], sigs[j], least)
-                    x, y = node[at + i[stay]], nodes[j[stay]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(matches)], schema=schema)
+                cut = slice(at, at + step)
+                small, large = np.minimum(lengths[cut, None], sizes), np.maximum(lengths[cut, None], sizes)
+                i, j = np.nonzero((comp[cut, None] != comps) & (100 * small >= percent * large))
+                if not len(i):
+                    continue
+                stay, matches = sift(sig[at + i], sigs[j], least)
+                for p in stay[np.argsort(-matches, kind="stable")].tolist():
+                    x, y = at + int(i[p]), int(j[p])
+                    ra, rb = root(int(comp[x])), root(int(comps[y]))
+                    if ra != rb and similar(own[x], sets[y], percent):
+                        joined[max(ra, rb)] = min(ra, rb)
+                        links.append((int(node[x]), int(nodes[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links, strict=True)], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -178,7 +199,7 @@ def _sift_blocks(members: DataFrame, percent: int) -> DataFrame:
             cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (chunks[1:] != chunks[:-1]) | (asks[1:] != asks[:-1])) + 1
             for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if (groups[start], chunks[start]) != key:
-                    key, held, table = (groups[start], chunks[start]), [], None
+                    key, held, table, joined = (groups[start], chunks[start]), [], None, {}
                 part = batch.slice(start, end - start)
                 if asks[start]:
                     yield from compare(part)
@@ -186,7 +207,13 @@ def _sift_blocks(members: DataFrame, percent: int) -> DataFrame:
                     held.append(part)
 
     ordered = members.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "asks")
-    return ordered.select("grp", "chunk", "asks", "node", "comp", "sig").mapInArrow(run, "a bigint, b bigint, matches bigint")
+    return ordered.select("grp", "chunk", "asks", "node", "comp", "sig", "shingles").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -262,9 +289,7 @@ class Linker:
             for batch in batches:
                 keep = []
                 for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                    x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
+                    if similar(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), percent):
                         keep.append(i)
                 rows = batch.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], schema=schema)
@@ -273,7 +298,10 @@ class Linker:
         for side in ("a", "b"):
             own = sets.select(F.col("node").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}"))
             rows = rows.join(own, F.col(side) == F.col(f"n_{side}"))
-        made = rows.select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
+        self.add(rows.select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint"))
+
+    def add(self, made: DataFrame) -> None:
+        """Adds verified links and labels the components anew."""
         links = made if self.links is None else made.unionByName(self.links)
         self.links = materialise(links)
         self.comps = materialise(connected(self.links))
@@ -362,15 +390,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     again = again.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
     linker.verify_likeliest(materialise(_sift_pairs(again, sigs, percent)))
 
-    # What is outside the largest component of its bucket then asks all members.
+    # What is outside the largest component of its bucket then asks all that meet
+    # that component anywhere, each node once.
     placed = mixed_buckets(linker, members)
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    answers = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("asks", F.lit(False))
-    asking = placed.where("comp <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("asks", F.lit(True))
-    keyed = sigs.select(F.col("node").alias("s_node"), "sig")
+    met = materialise(placed.select(F.col("main").alias("grp"), "node", "comp").distinct())
+    chunks = met.groupBy(F.col("grp").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    met = met.join(chunks, F.col("grp") == F.col("g")).drop("g")
+    answers = met.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("asks", F.lit(False))
+    asking = met.where("comp <> grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(True))
+    needed = met.select("node").distinct()
+    keyed = linker.sets_of(needed).join(sigs.select(F.col("node").alias("s_node"), "sig"), F.col("node") == F.col("s_node"))
+    keyed = materialise(keyed.select("s_node", "sig", "shingles"))
     both = answers.unionByName(asking).join(keyed, F.col("node") == F.col("s_node"))
-    late = _sift_blocks(both.select(F.col("bucket").alias("grp"), "chunk", "asks", "node", "comp", "sig"), percent)
-    linker.verify(linker.between(late.select("a", "b").distinct()))
+    linker.add(_link_blocks(both, percent))
 
     labels = linker.labelled(nodes.select("set_key", "node"), "node", "component_id").select(F.col("set_key").alias("key"), "component_id")
     found = some.select("doc_id", "n_shingles", "set_key").join(labels, F.col("set_key") == F.col("key"), "left").drop("set_key", "key")
