@@ -1,10 +1,9 @@
 """MinHash near-duplicates with sequential Bayesian verification of banded candidates.
 
 Equal sets are one node. Nodes that share a band are compared along stars, with
-the smallest node of the bucket and then with a member of its largest component;
-verified links make components. What stars cannot settle, members of a bucket that are
-still in different components, is compared in blocks inside tasks, which send
-on links only. Every pair that the posterior does not rule out and that could
+the smallest and the largest node of the bucket; verified links make components.
+What stars cannot settle, members of a bucket that are still in different
+components, is compared in blocks inside tasks, which send on links only. Every pair that the posterior does not rule out and that could
 join two components is verified on the full sets.
 """
 
@@ -374,22 +373,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sigs = nodes.select("node", "sig")
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    members = materialise(banded.join(buckets, F.col("bucket") == F.col("b")).select("bucket", "node", "pivot", "n"))
+    buckets = banded.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    members = materialise(banded.join(buckets, F.col("bucket") == F.col("b")).select("bucket", "node", "low", "high", "n"))
 
     linker = Linker(docs, k, percent)
-    star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    star = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    star = star.unionByName(members.where("node <> high").select(F.col("node").alias("a"), F.col("high").alias("b"))).distinct()
     stay = materialise(_sift_pairs(star, sigs, percent))
     linker.verify_likeliest(stay)
 
-    # Buckets still with several components: what is outside the largest meets one
-    # member of it, another in each bucket.
-    placed = mixed_buckets(linker, members)
-    reps = placed.where("comp = main").groupBy(F.col("bucket").alias("b")).agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("rep"))
-    again = placed.where("comp <> main").join(reps, F.col("bucket") == F.col("b"))
-    again = again.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
-    linker.verify_likeliest(materialise(_sift_pairs(again, sigs, percent)))
-
     # What is outside the largest component of its bucket then asks all that meet
     # that component anywhere, each node once.
     placed = mixed_buckets(linker, members)
