@@ -12,7 +12,8 @@ from filingrisk.llm.common import flat_map, text_or_empty
 from filingrisk.llm.signatures import RULES
 
 # What separates words, in lower-cased UTF-8.
-GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = rb"\x00-\x2F\x3A-\x60\x7B-\x7F"
+GAP = b"[" + SEPARATORS + b"]+"
 EDGE_BEFORE, EDGE_AFTER = rb"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])", rb"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 WORD_BYTE = np.ones(256, dtype=bool)
 WORD_BYTE[:0x80] = False
@@ -27,14 +28,28 @@ SCANNED = (
 )
 
 
+# A class of a rule, an optional blank, or a blank.
+_BLANKS = re.compile(r"\[[^]]*\]| \?| ")
+
+
+def translate(rule: str) -> bytes:
+    """The rule as a pattern over bytes: a blank is any gap, an optional one may be absent, one in a class is any separator."""
+
+    def part(m: re.Match) -> str:
+        if m[0].startswith("["):
+            return m[0].replace(" ", SEPARATORS.decode())
+        return f"(?:{GAP.decode()})?" if m[0] == " ?" else GAP.decode()
+
+    return _BLANKS.sub(part, rule).encode()
+
+
 @cache
 def compiled() -> list[tuple]:
-    """(priority, label, keyword, pattern) in priority order; spaces of a rule match any gap."""
+    """(priority, label, keyword, pattern) in priority order; see translate for the blanks of a rule."""
     out = []
     for line in RULES.strip().splitlines():
         priority, label, keyword, rule = (x.strip() for x in line.split("|", 3))
-        body = GAP.join(part.encode() for part in rule.split(" "))
-        out.append((int(priority), label, keyword.encode(), re.compile(EDGE_BEFORE + b"(?:" + body + b")" + EDGE_AFTER)))
+        out.append((int(priority), label, keyword.encode(), re.compile(EDGE_BEFORE + b"(?:" + translate(rule) + b")" + EDGE_AFTER)))
     return sorted(out, key=lambda r: r[0])
 
 

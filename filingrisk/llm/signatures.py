@@ -1,7 +1,7 @@
 """License signatures: priority | label | keyword | pattern over lower-case words.
 
-A blank in a pattern stands for any run of separators. The keyword must occur
-in whatever the pattern matches. Priority 0 holds the base phrases, 1 full
+A blank in a pattern stands for any run of separators. The keyword is one word
+and must occur in whatever the pattern matches. Priority 0 holds the base phrases, 1 full
 names with versions and tags, 2 unversioned names and addresses, 3 grant
 sentences, 4 short references.
 """
@@ -13,36 +13,37 @@ RULES = r"""
 0 | mit | license | mit license
 1 | gpl-1.0 | general | gnu general public licen[sc]e,? (?:version|v) ?1(?: 0)?
 1 | gpl-1.0 | gpl | (?:gnu )?gpl v?1(?: 0)?(?: only| or later)?
-1 | gpl-2.0 | general | gnu general public licen[sc]e (?:as published by the free software foundation )?(?:version|v) 2(?: 0)?
+1 | gpl-2.0 | general | gnu general public licen[sc]e (?:as published by the free software foundation )?(?:version|v) ?2(?: 0)?
 1 | gpl-2.0 | gpl | (?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?
 1 | gpl-2.0 | gpl | gplv2(?: 0)?
 1 | gpl-2.0 | general | version 2 of the gnu general public licen[sc]e
 1 | gpl-2.0 | general | general public licen[sc]e version 2 june 1991
-1 | gpl-3.0 | general | gnu general public licen[sc]e (?:as published by the free software foundation )?(?:version|v) 3(?: 0)?
+1 | gpl-3.0 | general | gnu general public licen[sc]e (?:as published by the free software foundation )?(?:version|v) ?3(?: 0)?
 1 | gpl-3.0 | gpl | (?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?
 1 | gpl-3.0 | gpl | gplv3(?: 0)?
 1 | gpl-3.0 | general | version 3 of the gnu general public licen[sc]e
 1 | gpl-3.0 | general | general public licen[sc]e version 3 29 june 2007
-1 | lgpl-2.0 | library | gnu library general public licen[sc]e(?: (?:version|v) 2(?: 0)?)?
+1 | lgpl-2.0 | library | gnu library general public licen[sc]e(?: (?:version|v) ?2(?: 0)?)?
 1 | lgpl-2.0 | lgpl | lgpl ?v?2 0(?: only| or later)?
-1 | lgpl-2.1 | lesser | gnu lesser general public licen[sc]e (?:version|v) 2 1
+1 | lgpl-2.1 | lesser | gnu lesser general public licen[sc]e (?:version|v) ?2 1
 1 | lgpl-2.1 | lgpl | (?:gnu )?lgpl ?v?2 1(?: only| or later)?
 1 | lgpl-2.1 | lgpl | lgplv2 1
 1 | lgpl-2.1 | lesser | version 2 1 of the gnu lesser general public licen[sc]e
-1 | lgpl-3.0 | lesser | gnu lesser general public licen[sc]e (?:version|v) 3(?: 0)?
+1 | lgpl-3.0 | lesser | gnu lesser general public licen[sc]e (?:version|v) ?3(?: 0)?
 1 | lgpl-3.0 | lgpl | (?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?
 1 | lgpl-3.0 | lgpl | lgplv3
-1 | agpl-1.0 | affero | affero general public licen[sc]e (?:version|v) 1(?: 0)?
-1 | agpl-3.0 | affero | (?:gnu )?affero general public licen[sc]e (?:version|v) 3(?: 0)?
+1 | agpl-1.0 | affero | affero general public licen[sc]e (?:version|v) ?1(?: 0)?
+1 | agpl-3.0 | affero | (?:gnu )?affero general public licen[sc]e (?:version|v) ?3(?: 0)?
 1 | agpl-3.0 | agpl | (?:gnu )?agpl ?v?3(?: 0)?(?: only| or later)?
 1 | agpl-3.0 | agpl | agplv3
-1 | gfdl-1.1 | documentation | gnu free documentation licen[sc]e (?:version|v) 1 1
-1 | gfdl-1.2 | documentation | gnu free documentation licen[sc]e (?:version|v) 1 2
-1 | gfdl-1.3 | documentation | gnu free documentation licen[sc]e (?:version|v) 1 3
+1 | gfdl-1.1 | documentation | gnu free documentation licen[sc]e (?:version|v) ?1 1
+1 | gfdl-1.2 | documentation | gnu free documentation licen[sc]e (?:version|v) ?1 2
+1 | gfdl-1.3 | documentation | gnu free documentation licen[sc]e (?:version|v) ?1 3
 1 | apache-1.0 | apache | apache (?:software )?licen[sc]e (?:version |v)?1 0
 1 | apache-1.1 | apache | apache (?:software )?licen[sc]e (?:version |v)?1 1
 1 | apache-2.0 | apache | apache (?:software )?licen[sc]e (?:version |v)?2(?: 0)?
-1 | apache-2.0 | apache | (?:asl|apache) ?v?2 0
+1 | apache-2.0 | apache | apache ?v?2 0
+1 | apache-2.0 | asl | asl ?v?2 0
 1 | apache-2.0 | apache | version 2 0 of the apache licen[sc]e
 1 | mpl-1.0 | mozilla | mozilla public licen[sc]e (?:version |v)?1 0
 1 | mpl-1.1 | mozilla | mozilla public licen[sc]e (?:version |v)?1 1
@@ -58,15 +59,15 @@ RULES = r"""
 1 | cddl-1.1 | development | common development and distribution licen[sc]e (?:version |v)?1 1
 1 | cddl-1.0 | cddl | cddl ?v?1 0
 1 | cddl-1.1 | cddl | cddl ?v?1 1
-1 | cpl-1.0 | common public | common public licen[sc]e(?: (?:version |v)?1 0)?
-1 | ipl-1.0 | ibm public | ibm public licen[sc]e(?: (?:version |v)?1 0)?
+1 | cpl-1.0 | common | common public licen[sc]e(?: (?:version |v)?1 0)?
+1 | ipl-1.0 | ibm | ibm public licen[sc]e(?: (?:version |v)?1 0)?
 1 | eupl-1.0 | eupl | eupl ?v?1 0
 1 | eupl-1.1 | eupl | eupl ?v?1 1
 1 | eupl-1.2 | eupl | eupl ?v?1 2
 1 | eupl-1.1 | european | european union public licen[sc]e (?:version |v)?1 1
 1 | eupl-1.2 | european | european union public licen[sc]e (?:version |v)?1 2
-1 | osl-3.0 | open software | open software licen[sc]e (?:version |v)?3 0
-1 | osl-2.1 | open software | open software licen[sc]e (?:version |v)?2 1
+1 | osl-3.0 | software | open software licen[sc]e (?:version |v)?3 0
+1 | osl-2.1 | software | open software licen[sc]e (?:version |v)?2 1
 1 | afl-3.0 | academic | academic free licen[sc]e (?:version |v)?3 0
 1 | afl-2.1 | academic | academic free licen[sc]e (?:version |v)?2 1
 1 | artistic-1.0 | artistic | artistic licen[sc]e (?:version |v)?1 0
@@ -74,7 +75,7 @@ RULES = r"""
 1 | bsl-1.0 | boost | boost software licen[sc]e(?: (?:version |v)?1 0)?
 1 | busl-1.1 | business | business source licen[sc]e (?:version |v)?1 1
 1 | busl-1.1 | busl | busl 1 1
-1 | sspl-1.0 | server side | server side public licen[sc]e(?: (?:version |v)?1)?
+1 | sspl-1.0 | server | server side public licen[sc]e(?: (?:version |v)?1)?
 1 | sspl-1.0 | sspl | sspl ?v?1(?: 0)?
 1 | elastic-2.0 | elastic | elastic licen[sc]e (?:version |v)?2(?: 0)?
 1 | cecill-1.0 | cecill | cecill ?v?1(?: 0)?
@@ -88,21 +89,21 @@ RULES = r"""
 1 | php-3.01 | php | php licen[sc]e (?:version |v)?3 01
 1 | psf-2.0 | python | python software foundation licen[sc]e(?: (?:version |v)?2)?
 1 | python-2.0 | python | python licen[sc]e (?:version |v)?2 0
-1 | ofl-1.0 | open font | sil open font licen[sc]e (?:version |v)?1 0
-1 | ofl-1.1 | open font | sil open font licen[sc]e (?:version |v)?1 1
+1 | ofl-1.0 | font | sil open font licen[sc]e (?:version |v)?1 0
+1 | ofl-1.1 | font | sil open font licen[sc]e (?:version |v)?1 1
 1 | ofl-1.1 | ofl | ofl ?v?1 1
 1 | ms-pl | microsoft | microsoft public licen[sc]e
 1 | ms-rl | microsoft | microsoft reciprocal licen[sc]e
 1 | ncsa | illinois | university of illinois ncsa open source licen[sc]e
 1 | w3c | w3c | w3c software (?:notice and )?licen[sc]e
-1 | qpl-1.0 | q public | q public licen[sc]e(?: (?:version |v)?1 0)?
+1 | qpl-1.0 | public | q public licen[sc]e(?: (?:version |v)?1 0)?
 1 | rpl-1.1 | reciprocal | reciprocal public licen[sc]e (?:version |v)?1 1
 1 | rpl-1.5 | reciprocal | reciprocal public licen[sc]e (?:version |v)?1 5
 1 | upl-1.0 | universal | universal permissive licen[sc]e(?: (?:version |v)?1 0)?
 1 | mulan-psl-2.0 | mulan | mulan psl ?v?2
 1 | mulan-psl-1.0 | mulan | mulan psl ?v?1
 1 | wtfpl | wtfpl | wtfpl(?: v?2)?
-1 | wtfpl | do what | do what the fuck you want to public licen[sc]e
+1 | wtfpl | fuck | do what the fuck you want to public licen[sc]e
 1 | vim | vim | vim licen[sc]e
 1 | openssl | openssl | openssl licen[sc]e
 1 | ssleay | ssleay | (?:original )?ssleay licen[sc]e
@@ -111,10 +112,10 @@ RULES = r"""
 1 | nasa-1.3 | nasa | nasa open source agreement (?:version |v)?1 3
 1 | odbl-1.0 | database | open (?:data commons open )?database licen[sc]e(?: (?:version |v)?1 0)?
 1 | odbl-1.0 | odbl | odbl ?v?1 0
-1 | odc-by-1.0 | open data | open data commons attribution licen[sc]e(?: (?:version |v)?1 0)?
-1 | pddl-1.0 | public domain | public domain dedication and licen[sc]e(?: (?:version |v)?1 0)?
-1 | ogl-uk-3.0 | open government | open government licen[sc]e (?:version |v)?3 0
-1 | ogl-uk-2.0 | open government | open government licen[sc]e (?:version |v)?2 0
+1 | odc-by-1.0 | commons | open data commons attribution licen[sc]e(?: (?:version |v)?1 0)?
+1 | pddl-1.0 | domain | public domain dedication and licen[sc]e(?: (?:version |v)?1 0)?
+1 | ogl-uk-3.0 | government | open government licen[sc]e (?:version |v)?3 0
+1 | ogl-uk-2.0 | government | open government licen[sc]e (?:version |v)?2 0
 1 | bsd-2-clause | bsd | (?:simplified|2 clause|two clause|freebsd) bsd(?: licen[sc]e)?
 1 | bsd-2-clause | bsd | bsd (?:2|two) clause(?: simplified)?(?: licen[sc]e)?
 1 | bsd-3-clause | bsd | (?:modified|revised|new|3 clause|three clause) bsd(?: licen[sc]e)?
@@ -157,18 +158,18 @@ RULES = r"""
 2 | mpl | mozilla | mozilla public licen[sc]e
 2 | epl | eclipse | eclipse public licen[sc]e
 2 | eupl | european | european union public licen[sc]e
-2 | osl | open software | open software licen[sc]e
+2 | osl | software | open software licen[sc]e
 2 | afl | academic | academic free licen[sc]e
 2 | artistic | artistic | (?:clarified )?artistic licen[sc]e
 2 | busl | business | business source licen[sc]e
 2 | elastic | elastic | elastic licen[sc]e
 2 | zpl | zope | zope public licen[sc]e
 2 | php | php | php licen[sc]e
-2 | ofl | open font | (?:sil )?open font licen[sc]e
+2 | ofl | font | (?:sil )?open font licen[sc]e
 2 | lppl | latex | latex project public licen[sc]e
 2 | isc | isc | isc licen[sc]e
 2 | zlib | zlib | zlib(?: libpng)? licen[sc]e
-2 | libpng | libpng | (?:libpng|png reference library) licen[sc]e
+2 | libpng | png | (?:libpng|png reference library) licen[sc]e
 2 | unlicense | unlicense | the unlicense
 2 | ijg | jpeg | independent jpeg group licen[sc]e
 2 | curl | curl | curl licen[sc]e
@@ -183,8 +184,8 @@ RULES = r"""
 2 | polyform | polyform | polyform (?:noncommercial|small business|perimeter|shield|strict) licen[sc]e
 2 | openrail | rail | (?:big ?science |creative ?ml )?open ?rail(?: m)? licen[sc]e
 2 | llama | llama | llama (?:2 |3 |3 1 )?community licen[sc]e
-2 | cc-by-sa | sharealike | (?:creative commons )?attribution share ?alike(?: licen[sc]e)?
-2 | cc-by-nc | noncommercial | (?:creative commons )?attribution non ?commercial(?: licen[sc]e)?
+2 | cc-by-sa | attribution | (?:creative commons )?attribution share ?alike(?: licen[sc]e)?
+2 | cc-by-nc | attribution | (?:creative commons )?attribution non ?commercial(?: licen[sc]e)?
 2 | cc-by-nd | attribution | (?:creative commons )?attribution no ?deriv(?:ative)?s(?: licen[sc]e)?
 2 | cc-by | attribution | creative commons attribution(?: licen[sc]e)?
 2 | cc0 | cc0 | cc0(?: licen[sc]e| public domain dedication)?
@@ -216,7 +217,7 @@ RULES = r"""
 2 | cc-by-nc-nd-4.0 | creativecommons | (?:http|https) creativecommons org licenses by nc nd 4 0
 2 | cc-by-nd-4.0 | creativecommons | (?:http|https) creativecommons org licenses by nd 4 0
 3 | mit | permission | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-3 | mit | without restriction | deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+3 | mit | restriction | deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
 3 | isc | permission | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 3 | bsd | redistribution | redistribution and use in source and binary forms with or without modification are permitted
 3 | bsd-3-clause | endorse | neither the name of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products
@@ -225,14 +226,14 @@ RULES = r"""
 3 | gpl | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e
 3 | lgpl | redistribute | this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e
 3 | apache-2.0 | compliance | you may not use this file except in compliance with the licen[sc]e
-3 | mpl-2.0 | source code form | this source code form is subject to the terms of the mozilla public licen[sc]e
+3 | mpl-2.0 | mozilla | this source code form is subject to the terms of the mozilla public licen[sc]e
 3 | unlicense | unencumbered | this is free and unencumbered software released into the public domain
 3 | bsl-1.0 | permission | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e
-3 | public-domain | public domain | (?:released|placed|dedicated) (?:in|into|to) the public domain
-3 | public-domain | public domain | this (?:work|file|software|code) is in the public domain
+3 | public-domain | domain | (?:released|placed|dedicated) (?:in|into|to) the public domain
+3 | public-domain | domain | this (?:work|file|software|code) is in the public domain
 3 | proprietary | confidential | proprietary and confidential
 3 | proprietary | unauthorized | unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|work)
-3 | all-rights-reserved | rights reserved | all rights reserved
+3 | all-rights-reserved | reserved | all rights reserved
 3 | commercial | commercial | commercial licen[sc]e
 4 | gpl | gpl | gpl
 4 | lgpl | lgpl | lgpl
