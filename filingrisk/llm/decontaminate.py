@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from filingrisk.llm.common import flat_map, ship_package, text_or_empty
 from filingrisk.session import materialise
 
-#: Words in a window, and the share of them that must not be placeholders.
+#: Words in a window, and the share of them that must not be placeholders for the template to stand for it.
 WINDOW = 8
 LITERAL_SHARE = 0.6
 #: Share of an item's windows that a document must hold to be a leak.
@@ -36,15 +36,18 @@ PLACE = {"num": "<num>", "unit": "<unit>", "name": "<name>"}
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?:]")
-# Low bits of a packed token: capitalised, last of a sentence, placeholder whatever its place.
-_CAP, _END, _TYPED, _FLAGS = 1, 2, 4, 7
+# Low bits of a packed token: capitalised, last of a sentence, number, unit.
+_CAP, _END, _NUM, _UNIT, _FLAGS = 1, 2, 4, 8, 15
+_KIND_FLAG = {"num": _NUM, "unit": _UNIT}
+# Forms of a window: the words as they are, or with placeholders.
+LITERAL, TEMPLATE = 0, 1
 
 
 def _number(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) & ~_FLAGS
 
 
-NAME_NUMBER = np.uint64(_number(PLACE["name"]))
+PLACE_NUMBER = {kind: np.uint64(_number(mark)) for kind, mark in PLACE.items()}
 #: Odd multiplier of the rolling hash.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,9 +75,8 @@ class PackedTokens(dict):
 def _packed(token: str, flags: int) -> bytes:
     low = token.lower()
     kind = token_type(low)
-    if kind:
-        return (_number(PLACE[kind]) | flags | _TYPED).to_bytes(8, "little")
-    return (_number(low) | flags | (_CAP if _is_name(token, low) else 0)).to_bytes(8, "little")
+    mark = _KIND_FLAG[kind] if kind else _CAP if _is_name(token, low) else 0
+    return (_number(low) | flags | mark).to_bytes(8, "little")
 
 
 def _is_name(token: str, low: str) -> bool:
@@ -96,15 +98,22 @@ class Templates:
     def __init__(self) -> None:
         self.known = PackedTokens()
 
-    def packed(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each canonical token, and whether it is a placeholder."""
+    def packed(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each token, of each canonical token, and whether that is a placeholder."""
         chunks = text.replace("\n", ". ").replace("\t", " ").split(" ")
         tokens = np.frombuffer(b"".join([self.known[c] for c in chunks]), dtype="<u8")
         starts = np.ones(len(tokens), dtype=bool)
         starts[1:] = (tokens[:-1] & np.uint64(_END)) > 0
-        names = ((tokens & np.uint64(_CAP)) > 0) & ~starts
-        typed = (tokens & np.uint64(_TYPED)) > 0
-        return np.where(names, NAME_NUMBER, tokens & ~np.uint64(_FLAGS)), typed | names
+        raw = tokens & ~np.uint64(_FLAGS)
+        kinds = {
+            "name": ((tokens & np.uint64(_CAP)) > 0) & ~starts,
+            "num": (tokens & np.uint64(_NUM)) > 0,
+            "unit": (tokens & np.uint64(_UNIT)) > 0,
+        }
+        canonical = raw.copy()
+        for kind, at in kinds.items():
+            canonical[at] = PLACE_NUMBER[kind]
+        return raw, canonical, kinds["name"] | kinds["num"] | kinds["unit"]
 
     def words(self, text: str) -> tuple[list[str], list[str]]:
         """Canonical tokens, and those of the text, lower-cased; in step with packed()."""
@@ -121,33 +130,53 @@ class Templates:
         return canonical, raw
 
     def windows(self, text: str, sizes: list[int]):
-        """(size, hashes of the windows by position, which of them have enough literals)."""
-        numbers, slots = self.packed(text)
+        """(size, hashes of the windows by position as they are and as templates, which of them have enough literals)."""
+        raw, canonical, slots = self.packed(text)
         literal = np.concatenate([[0], np.cumsum(~slots)])
         for size in sizes:
-            n = len(numbers) - size + 1
+            n = len(raw) - size + 1
             if n > 0:
-                value = np.full(n, size, dtype=np.uint64)
-                for j in range(size):
-                    value = (value * STEP) ^ numbers[j : j + n]
-                    value ^= value >> np.uint64(29)
-                yield size, value, literal[size:] - literal[:n] >= max(1, int(np.ceil(LITERAL_SHARE * size)))
+                enough = literal[size:] - literal[:n] >= max(1, int(np.ceil(LITERAL_SHARE * size)))
+                yield size, _rolled(raw, size, LITERAL), _rolled(canonical, size, TEMPLATE), enough
 
 
-_WINDOWS = "hash bigint, size bigint, at bigint, template string, slots array<string>"
+def _mixed(left: np.ndarray, right) -> np.ndarray:
+    value = (left * STEP) ^ right
+    value ^= value >> np.uint64(29)
+    return value
 
 
-def _rows(words: tuple[list[str], list[str]], size: int, at: int, value: int) -> tuple:
+def _rolled(numbers: np.ndarray, size: int, form: int) -> np.ndarray:
+    """Hash of each window of `size` numbers, from hashes of 1, 2, 4 and so on."""
+    n, value, taken, width = len(numbers) - size + 1, None, 0, 1
+    while True:
+        if size & width:
+            part = numbers[taken : taken + n]
+            value = part if value is None else _mixed(value, part)
+            taken += width
+        if 2 * width > size:
+            return _mixed(value, np.uint64(2 * size + form))
+        numbers = _mixed(numbers[:-width], numbers[width:])
+        width *= 2
+
+
+_WINDOWS = "hash bigint, form bigint, size bigint, at bigint, words string, slots array<string>"
+
+
+def _row(words: tuple[list[str], list[str]], size: int, at: int, form: int, value: np.uint64) -> tuple:
     canonical, raw = words[0][at : at + size], words[1][at : at + size]
-    slots = [f"{c}{r}" for c, r in zip(canonical, raw, strict=True) if c in _PLACES]
-    return value, size, at, " ".join(canonical), slots
+    slots = [f"{c}{r}" for c, r in zip(canonical, raw, strict=True) if c in _PLACES] if form == TEMPLATE else []
+    return int(value.astype(np.int64)), form, size, at, " ".join(canonical if form == TEMPLATE else raw), slots
 
 
 _PLACES = frozenset(PLACE.values())
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """Template windows of each item; one shorter than the window is one window of its own."""
+    """Windows of each item; one shorter than the window is one window of its own.
+
+    A window with enough literals stands as a template, any other one as it is.
+    """
 
     def make():
         templates = Templates()
@@ -156,15 +185,19 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
             words = templates.words(text)
             size = min(window, len(words[0]))
             if size:
-                for _, values, enough in templates.windows(text, [size]):
-                    for at in np.flatnonzero(enough).tolist():
-                        yield item_id, int(enough.sum()), *_rows(words, size, at, int(values[at].astype(np.int64)))
+                for _, as_is, values, enough in templates.windows(text, [size]):
+                    for at, usable in enumerate(enough.tolist()):
+                        head = item_id, len(enough), int(enough.sum()), usable
+                        if usable:
+                            yield *head, *_row(words, size, at, TEMPLATE, values[at])
+                        else:
+                            yield *head, *_row(words, size, at, LITERAL, as_is[at])
 
         return produce
 
     kind = items.schema["item_id"].dataType.simpleString()
     rows = items.select("item_id", text_or_empty().alias("text"))
-    return flat_map(rows, make, f"item_id {kind}, n_windows bigint, {_WINDOWS}")
+    return flat_map(rows, make, f"item_id {kind}, n_windows bigint, n_usable bigint, usable boolean, {_WINDOWS}")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -173,9 +206,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_cove
     docs has doc_id and text, items has item_id and text. A document leaks an
     item if windows of the item's template stand in it, those of one alignment
     fill the template's slots consistently (equal values with equal values), and
-    they cover at least `min_coverage` of the item's windows. `same_slots` says
-    that the values are the item's own; otherwise the question was
-    re-parameterised. text_key is the SHA-256 of the text.
+    they cover at least `min_coverage` of the item's windows. A window with too
+    few literals for a template counts if it stands there word for word.
+    `same_slots` says that the values are the item's own; otherwise the question
+    was re-parameterised. coverage is the greater of the shares of all windows
+    (n_found of n_windows) and of those that have templates. text_key is the
+    SHA-256 of the text.
 
     Null texts, and items or documents without words, leak nothing. Rows with
     equal doc_id and text count once. Documents' windows are tested against a
@@ -205,35 +241,47 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_cove
 
         def produce(doc_id, text):
             words = key = None
-            for size, values, enough in templates.windows(text, sizes):
-                slot = values & np.uint64((1 << GATE_BITS) - 1)
-                hit = enough & ((open_[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                for at in np.flatnonzero(hit).tolist():
-                    words = words or templates.words(text)
-                    key = key or hashlib.sha256(text.encode()).hexdigest()
-                    yield doc_id, key, *_rows(words, size, at, int(values[at].astype(np.int64)))
+            for size, as_is, values, enough in templates.windows(text, sizes):
+                for form, made, wanted in ((LITERAL, as_is, None), (TEMPLATE, values, enough)):
+                    slot = made & np.uint64((1 << GATE_BITS) - 1)
+                    hit = (open_[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+                    for at in np.flatnonzero(hit if wanted is None else hit & wanted).tolist():
+                        words = words or templates.words(text)
+                        key = key or hashlib.sha256(text.encode()).hexdigest()
+                        yield doc_id, key, *_row(words, size, at, form, made[at])
 
         return produce
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     met = flat_map(rows, make, f"doc_id {kind}, text_key string, {_WINDOWS}")
-    asked = asked.select("item_id", "n_windows", *(F.col(c).alias(f"i_{c}") for c in ("hash", "size", "at", "template", "slots")))
-    same = (F.col("hash") == F.col("i_hash")) & (F.col("size") == F.col("i_size")) & (F.col("template") == F.col("i_template"))
+    own = ("hash", "form", "size", "at", "words", "slots")
+    asked = asked.select("item_id", "n_windows", "n_usable", "usable", *(F.col(c).alias(f"i_{c}") for c in own))
+    same = F.lit(True)
+    for c in ("hash", "form", "size", "words"):
+        same = same & (F.col(c) == F.col(f"i_{c}"))
     pairs = F.arrays_zip(F.col("i_slots").alias("asked"), F.col("slots").alias("given"))
     pairs = met.join(asked, same).select(
-        "doc_id", "text_key", "item_id", "n_windows", "i_at", (F.col("at") - F.col("i_at")).alias("shift"), F.array_distinct(pairs).alias("pairs")
+        "doc_id", "text_key", "item_id", "n_windows", "n_usable", "usable", "form", "i_at",
+        (F.col("at") - F.col("i_at")).alias("shift"), F.array_distinct(pairs).alias("pairs"),
     )
     # Slots of one alignment: as many pairs of values as values asked for.
-    keys = ["doc_id", "text_key", "item_id", "n_windows", "shift"]
-    aligned = pairs.groupBy(*keys).agg(
-        F.collect_set("i_at").alias("windows"),
+    keys = ["doc_id", "text_key", "item_id", "n_windows", "n_usable"]
+    place = F.struct("i_at", "usable")
+    aligned = pairs.groupBy(*keys, "shift").agg(
+        F.collect_set(F.when(F.col("form") == LITERAL, place)).alias("verbatim"),
+        F.collect_set(F.when(F.col("form") == TEMPLATE, place)).alias("shaped"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["asked"])))
-    whole = F.forall("pairs", lambda p: p["asked"] == p["given"])
-    per_item = aligned.where(consistent).groupBy("doc_id", "text_key", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("windows")))).cast("long").alias("n_found"), F.every(whole).alias("same_slots")
+    own_values = F.forall("pairs", lambda p: p["asked"] == p["given"])
+    counted = F.when(consistent, F.concat("verbatim", "shaped")).otherwise(F.col("verbatim"))
+    per_item = aligned.groupBy(*keys).agg(
+        F.array_distinct(F.flatten(F.collect_list(counted))).alias("found"),
+        F.every(~consistent | own_values).alias("same_slots"),
     )
-    coverage = F.col("n_found") / F.col("n_windows")
-    return per_item.withColumn("coverage", coverage).where(F.col("coverage") >= min_coverage)
+    # Windows that only count as they are do not thin out a re-parameterised item.
+    n_found, n_shaped = F.size("found").cast("long"), F.size(F.filter("found", lambda w: w["usable"]))
+    coverage = F.greatest(n_found / F.col("n_windows"), n_shaped / F.nullif(F.col("n_usable"), F.lit(0)))
+    leaks = per_item.select("doc_id", "text_key", "item_id", n_found.alias("n_found"), "n_windows", coverage.alias("coverage"), "same_slots")
+    return leaks.where(F.col("coverage") >= min_coverage)
