@@ -175,7 +175,7 @@ _PLACES = frozenset(PLACE.values())
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """Windows of each item; one shorter than the window is one window of its own.
 
-    A window with enough literals stands as a template, any other one as it is.
+    Every window stands as it is, one with enough literals as a template too.
     """
 
     def make():
@@ -188,10 +188,9 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
                 for _, as_is, values, enough in templates.windows(text, [size]):
                     for at, usable in enumerate(enough.tolist()):
                         head = item_id, len(enough), int(enough.sum()), usable
+                        yield *head, *_row(words, size, at, LITERAL, as_is[at])
                         if usable:
                             yield *head, *_row(words, size, at, TEMPLATE, values[at])
-                        else:
-                            yield *head, *_row(words, size, at, LITERAL, as_is[at])
 
         return produce
 
@@ -204,12 +203,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_cove
     """(doc_id, text_key, item_id, n_found, n_windows, coverage, same_slots) of every leak.
 
     docs has doc_id and text, items has item_id and text. A document leaks an
-    item if windows of the item's template stand in it, those of one alignment
-    fill the template's slots consistently (equal values with equal values), and
-    they cover at least `min_coverage` of the item's windows. A window with too
-    few literals for a template counts if it stands there word for word.
-    `same_slots` says that the values are the item's own; otherwise the question
-    was re-parameterised. coverage is the greater of the shares of all windows
+    item if its windows stand in it and cover at least `min_coverage` of the
+    item's windows. A window that stands there word for word counts; one with
+    other values in its template's slots counts if its alignment fills the slots
+    consistently (equal values with equal values). `same_slots` says that all
+    values are the item's own; otherwise the question was re-parameterised. coverage is the greater of the shares of all windows
     (n_found of n_windows) and of those that have templates. text_key is the
     SHA-256 of the text.
 
@@ -265,7 +263,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_cove
         "doc_id", "text_key", "item_id", "n_windows", "n_usable", "usable", "form", "i_at",
         (F.col("at") - F.col("i_at")).alias("shift"), F.array_distinct(pairs).alias("pairs"),
     )
-    # Slots of one alignment: as many pairs of values as values asked for.
+    # Verbatim windows count anyway, templates if the slots of their alignment have as many pairs of values as values asked for.
     keys = ["doc_id", "text_key", "item_id", "n_windows", "n_usable"]
     place = F.struct("i_at", "usable")
     aligned = pairs.groupBy(*keys, "shift").agg(

@@ -17,3 +17,10 @@ def test_items_of_mostly_placeholders(spark):
     ]
     texts = [f"Some words first. {item} and more" for item in items] + [items[1].replace("20", "21").replace("7 mm", "8 mm").replace("6", "5")]
     assert set(leaks(spark, texts, items)) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_verbatim_windows_count_beside_a_changed_slot(spark):
+    item = "Alice saw 4 birds and then 4 more birds flew over the barn while 4 dogs slept near it"
+    text = item.replace("4 dogs", "5 dogs")
+    row = leaks(spark, [text, "Robert saw 6 cats and then 9 more cats ran under the barn while 5 dogs slept near it"], [item])
+    assert set(row) == {(0, 0)} and row[0, 0].n_found == 7 and row[0, 0].same_slots
