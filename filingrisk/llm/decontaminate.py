@@ -19,6 +19,10 @@ WINDOW = 8
 LITERAL_SHARE = 0.6
 #: Share of an item's windows that a document must hold to be a leak.
 MIN_COVERAGE = 0.2
+#: Words on end that are a leak whatever their share of the item.
+RUN_WORDS = 20
+#: Words of the shortest item that is looked for inside texts; one below is only met by a text of the same words.
+LEAST_WORDS = 3
 #: Bits of the gate that keeps windows of no item off the join; a fixed size.
 GATE_BITS = 26
 
@@ -129,14 +133,17 @@ class Templates:
                 start = bool(_SENTENCE_END.search(after))
         return canonical, raw
 
-    def windows(self, text: str, sizes: list[int]):
-        """(size, hashes of the windows by position as they are and as templates, which of them have enough literals)."""
+    def windows(self, text: str, sizes: list[int], least: int):
+        """(size, hashes of the windows by position as they are and as templates, which of them have enough literals).
+
+        Enough is the share of `least` words also in a shorter window.
+        """
         raw, canonical, slots = self.packed(text)
         literal = np.concatenate([[0], np.cumsum(~slots)])
         for size in sizes:
             n = len(raw) - size + 1
             if n > 0:
-                enough = literal[size:] - literal[:n] >= max(1, int(np.ceil(LITERAL_SHARE * size)))
+                enough = literal[size:] - literal[:n] >= int(np.ceil(LITERAL_SHARE * max(size, least)))
                 yield size, _rolled(raw, size, LITERAL), _rolled(canonical, size, TEMPLATE), enough
 
 
@@ -185,7 +192,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
             words = templates.words(text)
             size = min(window, len(words[0]))
             if size:
-                for _, as_is, values, enough in templates.windows(text, [size]):
+                for _, as_is, values, enough in templates.windows(text, [size], window):
                     for at, usable in enumerate(enough.tolist()):
                         head = item_id, len(enough), int(enough.sum()), usable
                         yield *head, *_row(words, size, at, LITERAL, as_is[at])
@@ -204,13 +211,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_cove
 
     docs has doc_id and text, items has item_id and text. A document leaks an
     item if its windows stand in it and cover at least `min_coverage` of the
-    item's windows. A window that stands there word for word counts; one with
+    item's windows, or if RUN_WORDS words on end of the item stand in it. A window that stands there word for word counts; one with
     other values in its template's slots counts if its alignment fills the slots
     consistently (equal values with equal values). `same_slots` says that all
     values are the item's own; otherwise the question was re-parameterised. coverage is the greater of the shares of all windows
     (n_found of n_windows) and of those that have templates. text_key is the
     SHA-256 of the text.
 
+    An item shorter than the window must stand in the text whole, word for word;
+    its template will do if that has as many literals as a window needs. One of
+    fewer than LEAST_WORDS words is only leaked by a text of just these words.
+
     Null texts, and items or documents without words, leak nothing. Rows with
     equal doc_id and text count once. Documents' windows are tested against a
     gate of fixed size first, which only keeps off what no item has; the join
@@ -239,7 +250,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_cove
 
         def produce(doc_id, text):
             words = key = None
-            for size, as_is, values, enough in templates.windows(text, sizes):
+            for size, as_is, values, enough in templates.windows(text, sizes, window):
+                if size < min(window, LEAST_WORDS) and len(as_is) > 1:
+                    continue
                 for form, made, wanted in ((LITERAL, as_is, None), (TEMPLATE, values, enough)):
                     slot = made & np.uint64((1 << GATE_BITS) - 1)
                     hit = (open_[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
@@ -271,15 +284,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_cove
         F.collect_set(F.when(F.col("form") == TEMPLATE, place)).alias("shaped"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
+    # The longest run of verbatim windows: where it began, which window comes next, and its length.
+    def step(state, at):
+        begin = F.when(at == state["next"], state["begin"]).otherwise(at)
+        return F.struct(begin.alias("begin"), (at + 1).alias("next"), F.greatest(state["run"], at + 1 - begin).alias("run"))
+
+    zero = F.struct(*(F.lit(n).cast("long").alias(c) for c, n in (("begin", -1), ("next", -1), ("run", 0))))
+    run = F.aggregate(F.array_sort(F.transform("verbatim", lambda w: w["i_at"])), zero, step, lambda state: state["run"])
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["asked"])))
     own_values = F.forall("pairs", lambda p: p["asked"] == p["given"])
     counted = F.when(consistent, F.concat("verbatim", "shaped")).otherwise(F.col("verbatim"))
     per_item = aligned.groupBy(*keys).agg(
         F.array_distinct(F.flatten(F.collect_list(counted))).alias("found"),
         F.every(~consistent | own_values).alias("same_slots"),
+        F.max(run).alias("run"),
     )
     # Windows that only count as they are do not thin out a re-parameterised item.
     n_found, n_shaped = F.size("found").cast("long"), F.size(F.filter("found", lambda w: w["usable"]))
     coverage = F.greatest(n_found / F.col("n_windows"), n_shaped / F.nullif(F.col("n_usable"), F.lit(0)))
-    leaks = per_item.select("doc_id", "text_key", "item_id", n_found.alias("n_found"), "n_windows", coverage.alias("coverage"), "same_slots")
-    return leaks.where(F.col("coverage") >= min_coverage)
+    leaks = per_item.select("doc_id", "text_key", "item_id", n_found.alias("n_found"), "n_windows", coverage.alias("coverage"), "same_slots", "run")
+    return leaks.where((F.col("coverage") >= min_coverage) | (F.col("run") >= max(1, RUN_WORDS - window + 1))).drop("run")

@@ -24,3 +24,15 @@ def test_verbatim_windows_count_beside_a_changed_slot(spark):
     text = item.replace("4 dogs", "5 dogs")
     row = leaks(spark, [text, "Robert saw 6 cats and then 9 more cats ran under the barn while 5 dogs slept near it"], [item])
     assert set(row) == {(0, 0)} and row[0, 0].n_found == 7 and row[0, 0].same_slots
+
+
+def test_a_long_run_of_a_long_item(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    texts = [" ".join(["before", *words[100:180], "after"]), " ".join(["before", *words[200:219], "after"]), " ".join([*words[40:50], "x", *words[50:60]])]
+    assert set(leaks(spark, texts, [" ".join(words)])) == {(0, 0)}
+
+
+def test_items_below_the_window(spark):
+    items = ["and", "How many", "How many eggs do 5 hens lay", "the 4 red 7"]
+    texts = ["one and all ask how many", "And", "how many?", "say how many eggs do 9 hens lay here", "so the 4 red 7 it is", "so the 5 red 8 it is", "how many eggs"]
+    assert set(leaks(spark, texts, items)) == {(1, 0), (2, 1), (3, 2), (4, 3)}
