@@ -15,12 +15,10 @@ from filingrisk.session import materialise
 DEGREE = 24
 #: Random hyperplane partitions from which the graph starts, and nodes in a part, about.
 STARTS, PART = 4, 1024
-#: Rounds of neighbours of neighbours, at most; fewer if less than SETTLED of the edges change.
-ROUNDS, SETTLED = 5, 0.2
-#: Nodes that a search keeps open.
+#: Rounds of neighbours of neighbours go on until less than this share of the edges changes.
+SETTLED = 0.001
+#: Nodes that a search keeps open at first; doubled until the answers stay the same.
 BEAM = 192
-#: Rounds of a search, at most; it ends when no open node is left.
-HOPS = 12
 #: Vectors in one block of the scoring table, about.
 BLOCK = 4096
 
@@ -171,13 +169,14 @@ def _descend(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
     return _by_group(met, ["centre", "grp"], ["node", "unit", "kth"], improve, _EDGES)
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
     """src, dst, score: about the `degree` nearest others of each node (node, unit)."""
     size = nodes.count()
     first = nodes.select("unit").first()
     dimension = len(first["unit"]) // 2 if first else 1
     edges = _best(_first_edges(nodes, size, dimension, degree), degree)
-    for _ in range(rounds if size > PART else 0):
+    # Lists only get better, so this ends.
+    while size > PART:
         better = _best(edges.unionByName(_descend(edges, nodes, degree)), degree)
         old = edges.select(F.col("src").alias("s"), F.col("dst").alias("d"))
         stay = better.join(old, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "left_semi").count()
@@ -232,32 +231,53 @@ def _score(pairs: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
     return both.select("block", "kind", "id", "unit", "nodes").mapInArrow(run, "q bigint, node bigint, score float")
 
 
-def search_graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """(q, node, score): the best nodes found for each query node q, itself apart.
+def slack(dimension: int) -> float:
+    """How far two cosines of half floats may be out of order, at most."""
+    one = 2.0**-10 + 2.0**-22 + 2.0**-24 * (dimension + np.sqrt(dimension))
+    return float(2 * one)
+
+
+def _ranked(pool: DataFrame, k: int) -> DataFrame:
+    """pool with r, the rank of a node for its query, and the score of the k-th."""
+    ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node")))
+    kth = F.max(F.when(F.col("r") == k, F.col("score"))).over(Window.partitionBy("q"))
+    return ranked.withColumn("kth", F.coalesce(kth, F.lit(-2.0)))
+
+
+def search_graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
+    """(q, node, score, r, kth): the nodes met for each query node q, itself apart, ranked.
 
     Greedy search from the query's own place in the graph: each round opens the
-    neighbours, in both directions, of the best `beam` nodes not yet opened.
+    neighbours, in both directions, of those nodes not yet opened that are among
+    the best `beam` or cannot be told from the k-th by half floats. When none is
+    left, the beam is doubled, until that changes none of the k best.
     """
     ways = materialise(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     blocks = max(1, nodes.count() // BLOCK)
+    first = nodes.select("unit").first()
+    near = slack(len(first["unit"]) // 2 if first else 1)
     pairs = queries.join(ways, F.col("q") == F.col("src")).select("q", F.col("dst").alias("node"))
     pool = materialise(_score(pairs, nodes, blocks).withColumn("done", F.lit(False)))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    for _ in range(hops):
-        ranked = materialise(pool.withColumn("r", F.row_number().over(best)))
-        front = ranked.where((F.col("r") <= beam) & ~F.col("done")).select("q", "node")
+    answers = None
+    while True:
+        ranked = materialise(_ranked(pool, k))
+        open_ = (F.col("r") <= beam) | (F.col("score") >= F.col("kth") - near)
+        front = ranked.where(open_ & ~F.col("done")).select("q", "node")
         met = front.join(ways, F.col("node") == F.col("src")).where("q <> dst").select("q", F.col("dst").alias("node")).distinct()
         seen = ranked.select(F.col("q").alias("sq"), F.col("node").alias("sn"))
         fresh = met.join(seen, (F.col("q") == F.col("sq")) & (F.col("node") == F.col("sn")), "left_anti")
         scored = materialise(_score(fresh, nodes, blocks))
-        if scored.isEmpty():
-            break
-        old = ranked.select("q", "node", "score", (F.col("done") | (F.col("r") <= beam)).alias("done"))
-        pool = materialise(old.unionByName(scored.withColumn("done", F.lit(False))))
-    return pool.select("q", "node", "score")
+        old = ranked.select("q", "node", "score", (F.col("done") | open_).alias("done"))
+        if not scored.isEmpty():
+            pool = materialise(old.unionByName(scored.withColumn("done", F.lit(False))))
+            continue
+        best = ranked.where((F.col("r") <= k) | (F.col("score") >= F.col("kth") - near)).select("q", "node")
+        if old.where("not done").isEmpty() or (answers is not None and best.exceptAll(answers).isEmpty()):
+            return ranked.select("q", "node", "score", "r", "kth")
+        answers, pool, beam = best, materialise(old), 2 * beam
 
 
-def nearest(vectors: DataFrame, asks, k: int = 5, degree: int = DEGREE, rounds: int = ROUNDS, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, asks, k: int = 5, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query.
 
     vectors has vec_id and embedding; `asks` is a condition on vec_id that names
@@ -274,15 +294,16 @@ def nearest(vectors: DataFrame, asks, k: int = 5, degree: int = DEGREE, rounds:
     members = materialise(few.groupBy("key").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("members")))
     by_node = members.select(F.col("node").alias("m_node"), "members")
     nodes = materialise(rows.join(by_node, F.col("vec_id") == F.col("m_node")).select(F.col("vec_id").alias("node"), "unit", "raw"))
-    edges = build_graph(nodes.select("node", "unit"), degree, rounds)
+    edges = build_graph(nodes.select("node", "unit"), degree)
 
     keys = members.select(F.col("key").alias("m_key"), "node")
     asking = materialise(rows.where(asks).select("vec_id", "key").join(keys, F.col("key") == F.col("m_key")).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")))
-    found = search_graph(asking.select("q").distinct(), nodes.select("node", "unit"), edges, beam)
+    found = search_graph(asking.select("q").distinct(), nodes.select("node", "unit"), edges, k, beam)
 
-    # Half floats rank well enough for this many; doubles decide.
-    spare = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    close = found.withColumn("r", F.row_number().over(spare)).where(F.col("r") <= 8 * k).select("q", "node")
+    # Doubles decide among all that half floats cannot tell from the k-th.
+    first = nodes.select("unit").first()
+    near = slack(len(first["unit"]) // 2 if first else 1)
+    close = found.where((F.col("r") <= k) | (F.col("score") >= F.col("kth") - near)).select("q", "node")
     close = close.unionByName(asking.select("q", F.col("q").alias("node")).distinct())
     raw = nodes.select(F.col("node").alias("n"), "raw")
     close = close.join(raw, F.col("node") == F.col("n")).drop("n").join(raw.select(F.col("n").alias("qn"), F.col("raw").alias("q_raw")), F.col("q") == F.col("qn"))
