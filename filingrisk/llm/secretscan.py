@@ -20,9 +20,11 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 # Weak parts: worth nothing alone, a credential together.
 NAMED_ID = r"""(client_?id|account_?id|access_?key_?id|key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
 OTHER_ID = r"ASIA[A-Z0-9]{16,}|(?<![A-Za-z0-9])AC[0-9a-f]{32}(?![A-Za-z0-9])|(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}"
-WEAK_SECRET = r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+_-]{32,88}={0,2}(?![A-Za-z0-9/+=_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+_-]{32,}+={0,2}+(?![A-Za-z0-9/+=_-])"
 ENDPOINT = r"""(?:https?|s3|gs|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]{4,}"""
 
+#: Different characters from which a run of two kinds of characters looks random.
+VARIETY = 16
 #: Code points between two parts of one credential, at most.
 SCOPE = 256
 MASK = "[SECRET]"
@@ -64,8 +66,10 @@ def _scanner():
 
 
 def _mixed(value: str) -> bool:
-    """Random-looking: small and large letters and digits."""
-    return any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
+    """Random-looking: small and large letters and digits, or two of these with VARIETY different characters."""
+    seen = set(value)
+    kinds = any(c.isdigit() for c in seen) + any(c.islower() for c in seen) + any(c.isupper() for c in seen)
+    return kinds == 3 or kinds == 2 and len(seen) >= VARIETY
 
 
 def _spans(column: str):
