@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, neighbours, secretscan, warc
+from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, neighbours, periodic, secretscan, warc
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -168,3 +168,36 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         args={"said": said},
     )
     return chat.chat_digests(chat.parse_chats(chat.format_chats(rows.unionByName(added))))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth document, by hash, repeats a stretch of itself from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    sized = split.where("size(words) > 0").withColumn("n", F.size("words").cast("long")).withColumn("a", F.expr("g % n"))
+    sized = sized.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    made = F.expr(
+        "array_join(concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a + p - 1) div p))), 1, int(n - a))), ' ')"
+    )
+    rest = split.where("words is null or size(words) <= 0")
+    return sized.select("doc_id", made.alias("text")).unionByName(rest.select("doc_id", "text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.find_runs(repeated_tails(read_table(spark, folder, "documents")))
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda m, r: F.when(m.isNull() | (r["length"] * m["period"] > m["length"] * r["period"]), r).otherwise(m))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

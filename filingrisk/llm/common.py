@@ -10,26 +10,15 @@ from zipfile import ZipFile
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from filingrisk.session import configure
 
 #: Rows in one Arrow batch; keeps a batch of very long texts within a worker's memory.
 BATCH_ROWS = 512
-
-_ARROW = {
-    "bigint": pa.int64(),
-    "int": pa.int32(),
-    "double": pa.float64(),
-    "boolean": pa.bool_(),
-    "string": pa.string(),
-    "binary": pa.binary(),
-    "array<bigint>": pa.list_(pa.int64()),
-    "array<int>": pa.list_(pa.int32()),
-    "float": pa.float32(),
-    "array<float>": pa.list_(pa.float32()),
-    "array<string>": pa.list_(pa.string()),
-}
-
+#: Bytes in one Arrow batch, into a worker and out of it, about.
+BATCH_BYTES = 4 << 20
 
 _SHIPPED: set[str] = set()
 
@@ -52,6 +41,7 @@ def prepare_session(spark: SparkSession) -> None:
     """Runtime options that the operators rely on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,16 +51,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow form of a flat DDL string such as 'doc_id bigint, text string'."""
-    pairs = [field.strip().split(" ", 1) for field in ddl.split(",")]
-    return pa.schema([(name, _ARROW[kind.strip()]) for name, kind in pairs])
+    """The Arrow form of a DDL string such as 'doc_id bigint, text string'."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]], ddl: str) -> DataFrame:
     """Rows of `ddl` that a function yields for each row of df.
 
     `make` runs once per task and returns that function; it takes the columns of
-    df in order. Output is sent on in batches, so a task holds one batch only.
+    df in order. Output is sent on in batches of bounded rows and bytes, so a
+    task holds one batch only.
     """
     ship_package(df.sparkSession)
     schema = arrow_schema(ddl)
@@ -81,19 +71,28 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
             if not batch.num_rows:
                 continue
             out, held = [], 0
-            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for row in rows_of(batch):
                 for made in produce(*row):
                     out.append(made)
-                    held += 1
-                if held >= 4 * BATCH_ROWS:
-                    yield pack(out, schema)
-                    out, held = [], 0
+                    for value in made:
+                        if isinstance(value, str | bytes | list):
+                            held += len(value)
+                    if held >= BATCH_BYTES or len(out) >= 4 * BATCH_ROWS:
+                        yield pack(out, schema)
+                        out, held = [], 0
             if out:
                 yield pack(out, schema)
 
     return df.mapInArrow(run, ddl)
 
 
+def rows_of(batch: pa.RecordBatch, at_once: int = 64) -> Iterator[tuple]:
+    """The rows of a batch as Python values, a few at a time."""
+    for start in range(0, batch.num_rows, at_once):
+        part = batch.slice(start, at_once)
+        yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
+
+
 def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
