@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, neighbours, periodic, secretscan, warc
+from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, neighbours, periodic, secretscan, warc, whitening
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -201,3 +201,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.prepare(read_table(spark, folder, "embeddings"))
+    model = whitening.fit(rows, components=8)
+    made = whitening.whiten(rows, model, whitening.identity_error(rows, model))
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
