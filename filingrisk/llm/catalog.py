@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm import bpe, chat, decontaminate, huffman, langid, licenses, neardup, neighbours, periodic, secretscan, warc, whitening
+from filingrisk.llm import bpe, chat, covertree, decontaminate, huffman, langid, licenses, neardup, neighbours, periodic, secretscan, warc, whitening
 from filingrisk.llm.common import read_table
 from filingrisk.session import checkpoint_dir
 
@@ -209,3 +209,20 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     model = whitening.fit(rows, components=8)
     made = whitening.whiten(rows, model, whitening.identity_error(rows, model))
     return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+OP13_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings
+           where vec_id is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select vec_id as query_id, x from v where vec_id % 50 = 0),
+s as (select q.query_id, v.vec_id, list_sum(list_transform(range(1, least(len(q.x), len(v.x)) + 1), lambda i: q.x[i] * v.x[i]))::bigint as score
+      from q join v on q.query_id <> v.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query("op13_top_products", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.top_products(read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)

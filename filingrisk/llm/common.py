@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from zipfile import ZipFile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,28 @@ def rows_of(batch: pa.RecordBatch, at_once: int = 64) -> Iterator[tuple]:
         yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each run of equal leading columns; the caller bounds a run, which is held whole."""
+    current, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+        changes = np.zeros(batch.num_rows - 1, dtype=bool)
+        for m in marks:
+            changes |= m[1:] != m[:-1]
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            key = tuple(m[start] for m in marks)
+            if key != current and held:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
 def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
