@@ -104,6 +104,52 @@ def _(w):
     return firm_years.count_bad_lines(w.spark, _write_line_array(w, "bad"))
 
 
+def _damaged_lines(w) -> str:
+    """The raw filings as a line-wise JSON array with a line that is no record behind every hundredth."""
+    path = scratch(w, "damaged-lines")
+    fields = F.to_json(F.struct(*[c for c in w.raw_filings.columns if c != "line_no"]))
+    broken = F.element_at(F.array(*map(F.lit, ("{", "[1, 2],", '{"cik": 3, "mda": "cut'))), (F.floor(F.col("line_no") / 100) % 3 + 1).cast("int"))
+    lines = F.when(F.col("line_no") % 100 == 0, F.array(F.concat(fields, F.lit(",")), broken)).otherwise(F.array(F.concat(fields, F.lit(","))))
+    w.raw_filings.select(F.explode(lines).alias("value")).write.text(path)
+    return path
+
+
+@query(
+    "src1_damaged_lines",
+    f"{RAW} select cik, name, sic, filing_type, filing_date, reporting_date, md5(mda) as digest from fx_raw",
+)
+def _(w):
+    raw = firm_years.read_firm_years(w.spark, _damaged_lines(w))
+    return raw.select("cik", "name", "sic", "filing_type", "filing_date", "reporting_date", F.md5("mda").alias("digest"))
+
+
+@query(
+    "src1_damaged_line_count",
+    f"{RAW}, b as (select count(*) filter (line_no % 100 = 0) as n_bad, count(*) as n from fx_raw) select n + n_bad as n_lines, n_bad from b",
+)
+def _(w):
+    return firm_years.count_bad_lines(w.spark, _damaged_lines(w))
+
+
+@query(
+    "src1_damaged_arrays",
+    f"""{RAW} select md5(mda) as digest, cik, reporting_date, true as parsed, count(*) as n from fx_raw group by all
+    union all select null, null, null, false, count(distinct line_no // 100) from fx_raw""",
+)
+def _(w):
+    # Whole arrays of a hundred records over any line breaks, each with one that breaks off in a string.
+    path = scratch(w, "damaged-arrays")
+    fields = F.to_json(F.struct(*[c for c in w.raw_filings.columns if c != "line_no"]))
+    group = F.floor(F.col("line_no") / 100)
+    arrays = w.raw_filings.groupBy(group).agg(F.collect_list(fields).alias("j"))
+    text = F.concat(F.lit("["), F.element_at("j", 1), F.lit(',\n{"cik": 3, "mda": "cut,\n'), F.array_join(F.slice("j", 2, 100), ",\n"), F.lit("]"))
+    alone = F.concat(F.lit("["), F.element_at("j", 1), F.lit(',\n{"cik": 3, "mda": "cut]'))
+    rows = arrays.select(F.when(F.size("j") > 1, text).otherwise(alone).alias("value"))
+    rows.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    read = firm_years.firm_year_records(w.spark, path)
+    return read.groupBy(F.md5("mda").alias("digest"), "cik", "reporting_date", "parsed").agg(F.count("*").alias("n"))
+
+
 @query(
     "src14_one_firm",
     f"""{RAW},{_TIDY} select doc_id, cik, 'raw' as source, count(*) as n_lines from keyed where cik = 77 group by doc_id, cik""",

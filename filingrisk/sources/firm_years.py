@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,26 +11,17 @@ from filingrisk.functions import dates
 from filingrisk.operators.ordered import keep_first
 from filingrisk.policy import MIN_TEXT_CHARS
 from filingrisk.schemas import FIRM_YEAR_RAW
+from filingrisk.sources import json_arrays
 
-FILE_ORDER = ("_file", "_offset", "_row")
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their place in the input: file, split offset, row in split."""
-    return spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_offset"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
+FILE_ORDER = json_arrays.PLACE
 
 
 def parse_lines(lines: DataFrame, contains: str | None = None) -> DataFrame:
-    """Parse array lines to the raw schema; unreadable lines have `parsed` false.
+    """Parse lines or texts of records to the raw schema; for those that are no object `parsed` is false.
 
     `contains` is a cheap text test made before the JSON is parsed.
     """
-    body = F.regexp_replace(F.trim("value"), r",\s*$", "")
+    body = F.regexp_replace(F.btrim("value", F.lit(" \t\r\n")), r",\s*$", "")
     records = lines.withColumn("_body", body).where(~F.col("_body").isin("", "[", "]"))
     if contains is not None:
         records = records.where(F.col("_body").contains(contains))
@@ -37,59 +30,44 @@ def parse_lines(lines: DataFrame, contains: str | None = None) -> DataFrame:
     parsed = F.from_json(
         "_body", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
+    good = F.col("_rec").isNotNull() & F.col("_rec._bad").isNull() & F.col("_body").startswith("{")
     return records.withColumn("_rec", parsed).select(
-        *[F.col(f"_rec.{f.name}").alias(f.name) for f in FIRM_YEAR_RAW],
-        F.col("_rec._bad").isNull().alias("parsed"),
+        *[F.when(good, F.col(f"_rec.{f.name}")).alias(f.name) for f in FIRM_YEAR_RAW],
+        good.alias("parsed"),
+        F.when(~good, F.col("_body")).alias("unread"),
         *FILE_ORDER,
     )
 
 
-def whole_array_files(lines: DataFrame) -> list[str]:
-    """Files that are one JSON array over any line breaks, not a record per line.
+def firm_year_records(spark: SparkSession, path: str, *, contains: str | None = None) -> DataFrame:
+    """Raw firm-years of JSON arrays, with a record per line or not; `parsed` is false for what could not be read.
 
-    Told by a line that opens an array together with a record, or holds a bare
-    opening brace; line-wise files have neither. One row per file comes back.
+    Each file is read as its head says (see json_arrays.file_modes). A bad line,
+    or damage in a whole array, costs the record it is in; its text stands in
+    `unread`.
     """
-    text = F.trim("value")
-    opens = text.rlike(r"^\[\s*[^\s\]]") | text.isin("{")
-    return [r["_file"] for r in lines.where(opens).select("_file").distinct().collect()]
+    modes = json_arrays.file_modes(spark, path)
+    made = []
+    if modes[json_arrays.LINES] or not modes[json_arrays.WHOLE]:
+        made.append(parse_lines(json_arrays.read_lines(spark, modes[json_arrays.LINES] or path), contains))
+    if modes[json_arrays.WHOLE]:
+        made.append(parse_lines(json_arrays.array_records(spark, modes[json_arrays.WHOLE]), contains))
+    return reduce(DataFrame.unionByName, made)
 
 
 def read_firm_years(spark: SparkSession, path: str, *, contains: str | None = None) -> DataFrame:
-    """Raw firm-years of JSON arrays, with a record per line or not; bad lines are dropped."""
-    lines = read_lines(spark, path)
-    whole = whole_array_files(lines)
-    by_line = lines.where(~F.col("_file").isin(whole)) if whole else lines
-    rows = parse_lines(by_line, contains).where("parsed").drop("parsed")
-    if not whole:
-        return rows
-    records = read_json_array(spark, whole)
-    if contains is not None:
-        records = records.where(F.to_json(F.struct(*[f.name for f in FIRM_YEAR_RAW])).contains(contains))
-    return rows.unionByName(records)
+    """Raw firm-years of JSON arrays, with a record per line or not; bad records are dropped."""
+    return firm_year_records(spark, path, contains=contains).where("parsed").drop("parsed", "unread")
 
 
 def count_bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """How many record lines were read and how many could not be parsed, in files with a record per line."""
-    lines = read_lines(spark, path)
-    return parse_lines(lines.where(~F.col("_file").isin(whole_array_files(lines)))).agg(
-        F.count("*").alias("n_lines"), F.count_if(~F.col("parsed")).alias("n_bad")
-    )
+    """How many records were read, on lines or in whole arrays, and how many could not be parsed."""
+    return firm_year_records(spark, path).agg(F.count("*").alias("n_lines"), F.count_if(~F.col("parsed")).alias("n_bad"))
 
 
 def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw firm-years of files that are one JSON array (not line-wise)."""
-    return (
-        spark.read.schema(FIRM_YEAR_RAW)
-        .option("multiLine", True)
-        .json(path)
-        .select(
-            *[f.name for f in FIRM_YEAR_RAW],
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_offset"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
-    )
+    return parse_lines(json_arrays.array_records(spark, path)).where("parsed").drop("parsed", "unread")
 
 
 def tidy_firm_years(
