@@ -50,6 +50,15 @@ def metrics_of_counts(
         F.sum(neg * (F.col("pos_before") + pos / 2)).alias("_area"),
         F.sum(pos * F.try_divide(tp.cast("double"), tp + fp)).alias("_ap"),
     )
+    return bundle_of_sums(sums, by, reference=reference)
+
+
+def bundle_of_sums(sums: DataFrame, by: Sequence[str], *, reference: float | None = None) -> DataFrame:
+    """The metric bundle from counts, squared errors, area and precision sums, one row per group.
+
+    `_area` counts pairs of a negative with the positives above it, ties half;
+    `_ap` sums the precision at each positive.
+    """
     n, positives = F.col("n"), F.col("positives")
     base = F.try_divide(positives.cast("double"), n)
     ref = base if reference is None else F.lit(float(reference))
