@@ -15,8 +15,11 @@ from pyspark.sql import types as T
 
 from filingrisk.functions.numeric import order_cell
 
-TIE_CELLS = 1024
+#: Cells of the rows of one score that is ranked row by row, and quantiles of the ids between which they lie.
+TIE_CELLS, TIE_QUANTILES = 1024, 32
 BLOCK_ROWS = 4096
+#: Parts into which rows equal in their order columns are dealt at least.
+SLOTS = 64
 
 
 def running_totals(
@@ -121,6 +124,24 @@ def tie_key(df: DataFrame, row_id: str) -> Column:
     return F.xxhash64(row_id)
 
 
+def tie_cells(tied: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of equal scores with `_cell`, which rises with `_tie`.
+
+    Cells lie between quantiles of the ids and cut these ranges evenly, so a
+    cell has a small share of the rows however the ids lie. `_tmin` and `_tmax`
+    are the least and the greatest `_tie` of the group.
+    """
+    shares = [i / TIE_QUANTILES for i in range(1, TIE_QUANTILES)]
+    quantiles = tied.groupBy(*keys).agg(F.percentile_approx("_tie", shares, 4 * TIE_QUANTILES).alias("_q"))
+    at = F.size(F.filter("_q", lambda q: q <= F.col("_tie")))
+    placed = tied.join(quantiles, list(keys)).withColumn("_at", at)
+    bounds = F.concat(F.array(F.col("_tmin").cast("long")), "_q", F.array(F.col("_tmax").cast("long")))
+    low, high = (F.get(bounds, F.col("_at") + i).cast("double") for i in (0, 1))
+    share = (F.col("_tie").cast("double") - low) / F.greatest(high - low, F.lit(1.0))
+    cell = F.col("_at").cast("long") * TIE_CELLS + F.floor(share * F.lit(TIE_CELLS // TIE_QUANTILES))
+    return placed.withColumn("_cell", cell).drop("_at", "_q")
+
+
 def cumulative_at_ranks(
     df: DataFrame,
     part: Sequence[str],
@@ -186,11 +207,7 @@ def cumulative_at_ranks(
             F.collect_list(F.struct("cut", "_take")).alias("_cuts"),
         )
     )
-    span = F.greatest(F.col("_tmax").cast("double") - F.col("_tmin").cast("double"), F.lit(1.0))
-    tied = base.join(split, [*part, score]).withColumn(
-        "_cell",
-        F.floor((F.col("_tie").cast("double") - F.col("_tmin").cast("double")) / span * TIE_CELLS),
-    )
+    tied = tie_cells(base.join(split, [*part, score]), [*part, score])
     keys = [*part, score, "_cell"]
     before = (
         Window.partitionBy(*part, score)
@@ -252,9 +269,15 @@ def with_previous_rows(
     has_key = F.col(key).isNotNull()
     late = F.lit(2**31 - 1)
     slots = {f"_o{i}": F.coalesce(c.cast("int"), late) for i, c in enumerate(order)}
-    slots["_oh"] = F.pmod(F.xxhash64(row_id), F.when(has_key, F.lit(64)).otherwise(F.lit(1 << 20)))
-    marked = df.withColumns(slots)
-    names = list(slots)
+    # Rows equal in all order columns are dealt by the last bits of their hash, very many also by as many
+    # of the first bits as their number asks for.
+    slots["_oh"] = F.pmod(F.xxhash64(row_id), F.when(has_key, F.lit(SLOTS)).otherwise(F.lit(1 << 20)))
+    marked, same = df.withColumns(slots), list(slots)[:-1]
+    many = marked.where(has_key).groupBy(key, *same).agg(F.count("*").alias("_n")).where(F.col("_n") > SLOTS * BLOCK_ROWS)
+    many = many.select(key, *same, F.least(F.lit(40), F.ceil(F.log2(F.col("_n") / (SLOTS * BLOCK_ROWS)))).cast("int").alias("_bits"))
+    marked = marked.join(many, [key, *same], "left").withColumn("_h", F.xxhash64(row_id))
+    marked = marked.withColumn("_ot", F.when(F.col("_bits") > 0, F.expr("shiftright(_h, 64 - _bits)")).otherwise(F.lit(0))).drop("_bits", "_h")
+    names = [*same, "_oh", "_ot"]
     counts = marked.where(has_key).groupBy(key, *names).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -94,6 +94,32 @@ def test_deciles_and_top_k_divide_a_hot_score(spark):
         assert r["events"] == int(pdf.y.to_numpy()[order[: r["k"]]].sum())
 
 
+def test_tied_ids_with_an_outlier_spread(spark):
+    """100,000 tied rows whose ids lie close but for one: no cell holds much, and the cut is right."""
+    n = 100_000
+    df = spark.range(n).select(
+        F.when(F.col("id") == n - 1, F.lit(9_000_000_000_000_000)).otherwise(F.col("id")).alias("row_id"),
+        F.lit(0.5).alias("p"), (F.col("id") % 7 == 0).cast("int").alias("y"),
+    ).unionByName(spark.range(10).select((-F.col("id") - 1).alias("row_id"), F.lit(0.9).alias("p"), F.lit(1).alias("y")))
+    got = evaluation.top_k_capture(df, fractions=(0.1,)).first()
+    k = got["k"]
+    assert k == 10_001 and got["events"] == 10 + len(range(0, k - 10, 7))
+    tied = df.where("p = 0.5").withColumnRenamed("row_id", "_tie").withColumn("_tmin", F.lit(0)).withColumn("_tmax", F.lit(9_000_000_000_000_000))
+    sizes = ordered.tie_cells(tied, ["p"]).groupBy("_cell").count().agg(F.count("*"), F.max("count")).first()
+    assert sizes[0] >= 500 and sizes[1] <= n / 25
+
+
+def test_one_firm_and_day_with_most_rows(spark, monkeypatch):
+    """Rows equal in all order columns, far more than the fixed slots take."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ordered, "SLOTS", 2)
+    rows = [(f"d{i:04d}", 1, 2000 if i % 4 else 2001, float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, cik long, fyear int, v double")
+    got = ordered.with_previous_rows(df, "cik", [F.col("fyear")], "doc_id", lambda w: {"p": F.lag("v").over(w)}, depth=2)
+    w = Window.partitionBy("cik").orderBy("fyear", F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.xxhash64("doc_id"), "doc_id")
+    assert sorted(map(tuple, got.select("doc_id", "p").collect())) == sorted(map(tuple, df.select("doc_id", F.lag("v").over(w)).collect()))
+
+
 def test_text_ids_tie_break_is_stable(spark):
     df = tied_scores(spark, ids=lambda i: f"doc-{i}")
     a = evaluation.decile_table(df.repartition(5)).orderBy("decile").collect()
