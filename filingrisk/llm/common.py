@@ -51,9 +51,42 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow form of a DDL string such as 'doc_id bigint, text string'."""
-    return to_arrow_schema(StructType.fromDDL(ddl))
+def arrow_schema(ddl: str | StructType) -> pa.Schema:
+    """The Arrow form of a schema or a DDL string such as 'doc_id bigint, text string'."""
+    return to_arrow_schema(StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """The name, or one made of it, that no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def add_columns(df: DataFrame, read: list[str], make: Callable[[], Callable[..., tuple]], ddl: str) -> DataFrame:
+    """df with the columns of `ddl`, a tuple per row from the columns `read` (texts).
+
+    `make` runs once per task. All columns of df, of whatever types, pass
+    through as they are; the new names must be free.
+    """
+    ship_package(df.sparkSession)
+    made = StructType.fromDDL(ddl)
+    schema = StructType([*df.schema.fields, *made.fields])
+    out_schema, own_schema = arrow_schema(schema), arrow_schema(made)
+    n, at = len(df.columns), [free_name(f"text_{i}", df) for i in range(len(read))]
+
+    def run(batches):
+        produce = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                columns = [part.column(i).cast(out_schema.field(i).type) for i in range(n)]
+                rows = [produce(*row) for row in zip(*(part.column(i).to_pylist() for i in range(n, part.num_columns)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *pack(rows, own_schema).columns], schema=out_schema)
+
+    texts = [F.col(c).cast("string").alias(name) for c, name in zip(read, at, strict=True)]
+    return df.select("*", *texts).mapInArrow(run, schema)
 
 
 def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]], ddl: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingrisk.llm.common import arrow_schema, flat_map, ship_package, text_or_empty
+from filingrisk.llm.common import arrow_schema, flat_map, rows_of, ship_package, text_or_empty
 from filingrisk.llm.vocabulary import encoded_pieces, tokenizer
 from filingrisk.session import materialise
 
@@ -34,9 +34,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, width: int = 4) ->
     """doc_id, ids (packed little-endian, `width` bytes each) of each whole text, end_id appended.
 
     For vocabularies whose splitting never joins characters across white space
-    (`path` names one): each run between spaces, tabs or line ends is encoded by
-    the tokenizers library on its own, which gives the same ids as the whole
-    text. A null text is empty and has only the end id.
+    (`path` names one): what stands between white space is encoded by the
+    tokenizers library on its own, which gives the same ids as the whole text. A null text is empty and has only the end id.
     """
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
@@ -44,8 +43,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, width: int = 4) ->
         known = encoded_pieces(path)
 
         def produce(doc_id, text):
-            pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            packed = b"".join([known[p] for p in pieces if p]) + end
+            packed = known.of_text(text) + end
             yield doc_id, packed if width == 4 else np.frombuffer(packed, dtype="<u4").astype(f"<u{width}").tobytes()
 
         return produce
@@ -241,8 +239,11 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = key
+            for key, *row in rows_of(batch):
+                if key != part:
+                    if held:
+                        yield block()
+                    part, first, n, held = key, 0, 0, []
                 held.append(row)
                 n += row[1]
                 if n >= block_tokens:
@@ -253,8 +254,12 @@ def write_ids(
 
     order = F.col("doc_id").asc_nulls_first()
     coded = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(code, _CODED)
-    ranged = coded.repartitionByRange(parts, order).sortWithinPartitions(order, "payload")
-    numbered = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "n_tokens", "marks", "payload")
+    # Ranges of about equally many documents, from the ids alone: coding runs once, in the job that writes.
+    stops = tokens.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
+    stops = F.array(*(F.lit(x) for x in sorted(set(stops)))) if parts > 1 else F.array()
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(stops.cast("array<bigint>"), lambda stop: stop < F.col("doc_id"))))
+    ranged = coded.withColumn("part", part.cast("long")).repartitionById(parts, F.col("part").cast("int"))
+    numbered = ranged.sortWithinPartitions("part", order, "payload").select("part", "doc_id", "n_tokens", "marks", "payload")
     numbered.mapInArrow(gather, _BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{folder}/parts")
 
@@ -290,8 +295,6 @@ def read_ids(spark: SparkSession, folder: str, stride: int = STRIDE) -> DataFram
 
         return produce
 
-    # A few blocks at a time: each becomes a megabyte of ids or more.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
     columns = [f.split(" ")[0] for f in _BLOCK.split(", ")]
     return flat_map(spark.read.parquet(f"{folder}/blocks").select(*columns), make, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 

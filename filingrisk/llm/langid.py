@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingrisk.llm.common import arrow_schema, flat_map, ship_package
+from filingrisk.llm.common import add_columns, arrow_schema, flat_map, ship_package
 
 #: n-grams of 1 to 3 letters are hashed to so many features (a power of 2).
 FEATURES = 1 << 12
@@ -126,7 +126,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters:
 
         return produce
 
-    sample = flat_map(chosen, make, "lang string, at array<bigint>, counts array<bigint>")
+    # A text with very many copies is in the sample once.
+    sample = flat_map(chosen.dropDuplicates(["text", "lang"]), make, "lang string, at array<bigint>, counts array<bigint>")
     schema = arrow_schema("lang string, centroid array<float>, floor double")
 
     def cluster(table: pa.Table) -> pa.Table:
@@ -175,25 +176,38 @@ def classify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     and so is every text if the model knows no language. A text farther from its
     centroid than FLOOR_SHARE allows keeps its language and is rejected.
     """
+    made = _classified(docs.select(*dict.fromkeys([*keep, "text"])), model)
+    return made.select(*(F.col(c) for c in keep), *(F.col(f"{MADE}{c}").alias(c) for c in ("lang_pred", "score", "rejected")))
+
+
+def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is recognised, all columns as they are.
+
+    Rows with a null text, one without letters, or one too far from all
+    languages go; every repeated row is judged on its own.
+    """
+    return _classified(docs, model).where(~F.col(f"{MADE}rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: Before the names of made columns, so that they cannot clash with those of the table.
+MADE = "_langid_"
+
+
+def _classified(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col("text").cast("string").alias("text"))
-    ddl = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names, strict=True))
 
     def make():
         known = shared.value
         centroids = np.ascontiguousarray(known.centroids.T)
 
-        def produce(*row):
-            counts = n_gram_counts(row[-1]) if row[-1] and known.languages else None
+        def produce(text):
+            counts = n_gram_counts(text) if text and known.languages else None
             if counts is None:
-                yield *row[:-1], UNKNOWN, 0.0, True
-                return
+                return UNKNOWN, 0.0, True
             cosines = weigh(counts, known.idf) @ centroids
             best = int(cosines.argmax())
-            yield *row[:-1], known.languages[best], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] < known.floors[best])
+            return known.languages[best], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] < known.floors[best])
 
         return produce
 
-    made = flat_map(rows, make, f"{ddl}lang_pred string, score double, rejected boolean")
-    return made.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "lang_pred", "score", "rejected")
+    return add_columns(docs, ["text"], make, f"{MADE}lang_pred string, {MADE}score double, {MADE}rejected boolean")

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingrisk.llm.common import arrow_schema, flat_map, ship_package
-from filingrisk.session import materialise
+from filingrisk.session import discard, materialise
 
 #: Neighbours kept per node of the graph.
 DEGREE = 24
 #: Random hyperplane partitions from which the graph starts, and nodes in a part, about.
-STARTS, PART = 4, 1024
+STARTS, PART = 4, 256
 #: Rounds of neighbours of neighbours go on until less than this share of the edges changes.
 SETTLED = 0.001
 #: Nodes that a search keeps open at first; doubled until the answers stay the same.
@@ -26,7 +26,7 @@ _EDGES = "src bigint, dst bigint, score float"
 
 
 def prepare(vectors: DataFrame) -> DataFrame:
-    """vec_id, key, unit (half floats) and raw (doubles), packed, of each vector that takes part.
+    """vec_id, key, unit (single floats) and raw (doubles), packed, of each vector that takes part.
 
     Vectors that are null, zero, or hold a null or a number that is not finite
     take no part, nor do those of another length than the most frequent one
@@ -42,7 +42,7 @@ def prepare(vectors: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 norm = np.linalg.norm(raw / np.abs(raw).max()) if np.isfinite(raw).all() and raw.any() else 0.0
             if norm:
-                unit = (raw / np.abs(raw).max() / norm).astype("<f2")
+                unit = (raw / np.abs(raw).max() / norm).astype("<f4")
                 yield vec_id, xxhash.xxh3_128_hexdigest(raw.tobytes()), len(raw), unit.tobytes(), raw.tobytes()
 
         return produce
@@ -96,7 +96,7 @@ def _by_group(df: DataFrame, keys: list[str], columns: list[str], handle, ddl: s
 
 def _units(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype="<f2").reshape(len(rows), -1).astype(np.float32)
+    return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1)
 
 
 def _first_edges(nodes: DataFrame, size: int, dimension: int, degree: int, seed: int = 11) -> DataFrame:
@@ -109,7 +109,7 @@ def _first_edges(nodes: DataFrame, size: int, dimension: int, degree: int, seed:
 
     def make():
         def produce(node, unit):
-            vector = np.frombuffer(unit, dtype="<f2").astype(np.float32)
+            vector = np.frombuffer(unit, dtype="<f4")
             for start in range(STARTS):
                 side = planes[start] @ vector > 0
                 yield start, int((side << np.arange(bits)).sum()), node, unit
@@ -173,14 +173,15 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
     """src, dst, score: about the `degree` nearest others of each node (node, unit)."""
     size = nodes.count()
     first = nodes.select("unit").first()
-    dimension = len(first["unit"]) // 2 if first else 1
+    dimension = len(first["unit"]) // 4 if first else 1
     edges = _best(_first_edges(nodes, size, dimension, degree), degree)
     # Lists only get better, so this ends.
-    while size > PART:
+    while size > 1:
         better = _best(edges.unionByName(_descend(edges, nodes, degree)), degree)
         old = edges.select(F.col("src").alias("s"), F.col("dst").alias("d"))
         stay = better.join(old, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "left_semi").count()
         settled = stay >= (1 - SETTLED) * better.count()
+        discard(edges)
         edges = better
         if settled:
             break
@@ -232,8 +233,8 @@ def _score(pairs: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
 
 
 def slack(dimension: int) -> float:
-    """How far two cosines of half floats may be out of order, at most."""
-    one = 2.0**-10 + 2.0**-22 + 2.0**-24 * (dimension + np.sqrt(dimension))
+    """How far two cosines of single floats may be out of order, at most."""
+    one = 2.0**-23 + 2.0**-24 * (dimension + np.sqrt(dimension))
     return float(2 * one)
 
 
@@ -249,32 +250,30 @@ def search_graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int,
 
     Greedy search from the query's own place in the graph: each round opens the
     neighbours, in both directions, of those nodes not yet opened that are among
-    the best `beam` or cannot be told from the k-th by half floats. When none is
-    left, the beam is doubled, until that changes none of the k best.
+    the best `beam`. When none is left, the beam is doubled, until that changes
+    none of the k best.
     """
     ways = materialise(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     blocks = max(1, nodes.count() // BLOCK)
-    first = nodes.select("unit").first()
-    near = slack(len(first["unit"]) // 2 if first else 1)
     pairs = queries.join(ways, F.col("q") == F.col("src")).select("q", F.col("dst").alias("node"))
-    pool = materialise(_score(pairs, nodes, blocks).withColumn("done", F.lit(False)))
+    pool = materialise(_ranked(_score(pairs, nodes, blocks).withColumn("done", F.lit(False)), k))
     answers = None
     while True:
-        ranked = materialise(_ranked(pool, k))
-        open_ = (F.col("r") <= beam) | (F.col("score") >= F.col("kth") - near)
-        front = ranked.where(open_ & ~F.col("done")).select("q", "node")
+        front = pool.where((F.col("r") <= beam) & ~F.col("done")).select("q", "node")
+        if front.isEmpty():
+            best = materialise(pool.where(F.col("r") <= k).select("q", "node"))
+            if answers is not None and best.exceptAll(answers).isEmpty() or pool.where("not done").isEmpty():
+                return pool.select("q", "node", "score", "r", "kth")
+            answers, beam = best, 2 * beam
+            continue
         met = front.join(ways, F.col("node") == F.col("src")).where("q <> dst").select("q", F.col("dst").alias("node")).distinct()
-        seen = ranked.select(F.col("q").alias("sq"), F.col("node").alias("sn"))
+        seen = pool.select(F.col("q").alias("sq"), F.col("node").alias("sn"))
         fresh = met.join(seen, (F.col("q") == F.col("sq")) & (F.col("node") == F.col("sn")), "left_anti")
-        scored = materialise(_score(fresh, nodes, blocks))
-        old = ranked.select("q", "node", "score", (F.col("done") | open_).alias("done"))
-        if not scored.isEmpty():
-            pool = materialise(old.unionByName(scored.withColumn("done", F.lit(False))))
-            continue
-        best = ranked.where((F.col("r") <= k) | (F.col("score") >= F.col("kth") - near)).select("q", "node")
-        if old.where("not done").isEmpty() or (answers is not None and best.exceptAll(answers).isEmpty()):
-            return ranked.select("q", "node", "score", "r", "kth")
-        answers, pool, beam = best, materialise(old), 2 * beam
+        scored = _score(fresh, nodes, blocks).withColumn("done", F.lit(False))
+        old = pool.select("q", "node", "score", (F.col("done") | (F.col("r") <= beam)).alias("done"))
+        grown = materialise(_ranked(old.unionByName(scored), k))
+        discard(pool)
+        pool = grown
 
 
 def nearest(vectors: DataFrame, asks, k: int = 5, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
@@ -300,9 +299,9 @@ def nearest(vectors: DataFrame, asks, k: int = 5, degree: int = DEGREE, beam: in
     asking = materialise(rows.where(asks).select("vec_id", "key").join(keys, F.col("key") == F.col("m_key")).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")))
     found = search_graph(asking.select("q").distinct(), nodes.select("node", "unit"), edges, k, beam)
 
-    # Doubles decide among all that half floats cannot tell from the k-th.
+    # Doubles decide among all that single floats cannot tell from the k-th.
     first = nodes.select("unit").first()
-    near = slack(len(first["unit"]) // 2 if first else 1)
+    near = slack(len(first["unit"]) // 4 if first else 1)
     close = found.where((F.col("r") <= k) | (F.col("score") >= F.col("kth") - near)).select("q", "node")
     close = close.unionByName(asking.select("q", F.col("q").alias("node")).distinct())
     raw = nodes.select(F.col("node").alias("n"), "raw")
@@ -310,7 +309,8 @@ def nearest(vectors: DataFrame, asks, k: int = 5, degree: int = DEGREE, beam: in
 
     def make():
         def produce(q, node, x, y):
-            a, b = np.frombuffer(x, dtype=np.float64), np.frombuffer(y, dtype=np.float64)
+            # Scaled by their largest entries, so that no product or norm leaves the doubles.
+            a, b = (v / np.abs(v).max() for v in (np.frombuffer(x, dtype=np.float64), np.frombuffer(y, dtype=np.float64)))
             yield q, node, float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
 
         return produce

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingrisk.llm.common import flat_map, text_or_empty
+from filingrisk.llm.common import flat_map, free_name, text_or_empty
 from filingrisk.session import materialise
 
 # Base patterns, their least lengths, and the order of kinds.
@@ -157,9 +157,10 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Texts without any span stay as they are, null ones too.
     """
-    key = F.sha2(text_or_empty(), 256)
-    found = find_secrets(docs, [], scope).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
-    hit = docs.withColumn("secret_key", key).join(found.withColumnRenamed("key", "secret_key"), "secret_key", "left")
+    key, spans = free_name("secret_key", docs), free_name("spans", docs)
+    found = find_secrets(docs.select("text"), [], scope).where(F.size("spans") > 0).dropDuplicates(["key"])
+    found = found.select(F.col("key").alias(key), F.col("spans").alias(spans))
+    hit = docs.withColumn(key, F.sha2(text_or_empty(), 256)).join(found, key, "left")
 
     # Spans may overlap; from the left, each adds what lies beyond the last one.
     def step(state, s):
@@ -171,10 +172,10 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         )
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    masked = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"].cast("int") + 1, F.length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked)
+    masked = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"].cast("int") + 1, F.length("text"))))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(masked)
     hit = hit.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        changed = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text"))
         hit = hit.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
     return hit.select(*docs.columns)

@@ -77,6 +77,20 @@ class EncodedPieces(dict):
         self.rule, self.lower = (all(t.startswith("<") for t in special) and splitting(path)) or (None, False)
         self.parts = EncodedParts(self.tokenizer)
 
+    def of_text(self, text: str) -> bytes:
+        """Packed ids of a whole text, for vocabularies that join nothing across white space.
+
+        Plain text is split by the rule at once; other text at white space, each
+        piece on its own. (Python takes four control characters for white space,
+        the rule does not.)
+        """
+        if self.rule is WORD_RULE and _PLAIN.fullmatch(text):
+            parts = self.parts
+            return b"".join([parts[p] for p in self.rule.findall(text.lower() if self.lower else text)])
+        if any(mark in text for mark in "\x1c\x1d\x1e\x1f"):
+            return b"".join([self[p] for p in re.split("[ \n\t\r]", text) if p])
+        return b"".join([self[p] for p in text.split()])
+
     def __missing__(self, piece: str) -> bytes:
         if self.rule and _PLAIN.fullmatch(piece):
             text = piece.lower() if self.lower else piece

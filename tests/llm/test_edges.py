@@ -176,7 +176,8 @@ def test_leaks(spark, docs, none):
     spoilt = twice.replace("4 dogs", "5 dogs")
     asked = spark.createDataFrame([(1, twice)], "item_id long, text string")
     given = spark.createDataFrame([(1, spoilt), (2, twice.replace("4", "6"))], "doc_id long, text string")
-    assert {r.doc_id for r in decontaminate.find_leaks(given, asked).collect()} == {2}
+    # One changed number leaves verbatim windows, which count alone; numbers changed alike are a re-parameterised question.
+    assert {r.doc_id: r.same_slots for r in decontaminate.find_leaks(given, asked).collect()} == {1: True, 2: False}
     assert decontaminate.find_leaks(none, items).count() == 0
     assert decontaminate.find_leaks(docs, items.where("false")).count() == 0
 

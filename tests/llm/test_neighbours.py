@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from filingrisk.llm import neighbours
 
 
-@pytest.mark.parametrize("size", [2 * neighbours.PART, 4 * neighbours.PART])
+@pytest.mark.parametrize("size", [2048, 4096])
 def test_recall_on_near_copies(spark, size):
     rng = np.random.default_rng(size)
     centres = rng.standard_normal((size // 128, 16))
