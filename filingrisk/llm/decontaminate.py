@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,48 +40,90 @@ UNITS = frozenset(
 PLACE = {"num": "<num>", "unit": "<unit>", "name": "<name>"}
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
-_SENTENCE_END = re.compile(r"[.!?:]")
-# Low bits of a packed token: capitalised, last of a sentence, number, unit.
-_CAP, _END, _NUM, _UNIT, _FLAGS = 1, 2, 4, 8, 15
-_KIND_FLAG = {"num": _NUM, "unit": _UNIT}
+_SENTENCE_END = re.compile(r"[.!?:\n]")
 # Forms of a window: the words as they are, or with placeholders.
 LITERAL, TEMPLATE = 0, 1
+#: Odd multiplier of the rolling hash, and those of the characters of a token by their place.
+STEP = np.uint64(0x9E3779B97F4A7C15)
+_BY_PLACE = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Characters looked at together; a longer text is cut at a blank.
+PIECE_CHARS = 1 << 16
+# Classes of characters: part of a word, of a number, what may join numbers, what ends a sentence.
+_WORD, _DIGIT, _JOINS, _ENDS, _FIGURE = 1, 2, 4, 8, 16
 
 
-def _number(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) & ~_FLAGS
+@cache
+def _classes() -> np.ndarray:
+    """Class bits of every code point, as the regular expressions above take them."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isdecimal():
+            out[i] = _DIGIT | _FIGURE
+        elif c.isalnum():
+            out[i] = _WORD | (_FIGURE if c.isdigit() else 0)
+    out[[ord(c) for c in ".,"]] |= _JOINS
+    out[[ord(c) for c in ".!?:\n"]] |= _ENDS
+    return out
 
 
-PLACE_NUMBER = {kind: np.uint64(_number(mark)) for kind, mark in PLACE.items()}
-#: Odd multiplier of the rolling hash.
-STEP = np.uint64(0x9E3779B97F4A7C15)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-class PackedTokens(dict):
-    """Chunk between blanks -> its tokens as packed 64-bit numbers; a chunk's sentence end is on its last token."""
+def _lowered(text: str) -> str:
+    """Lower case, character by character where the whole text would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            value = _packed(chunk, 0)
-        else:
-            parts, matches = [], list(_TOKEN.finditer(chunk))
-            ends = [*(m.start() for m in matches[1:]), len(chunk)]
-            for m, end in zip(matches, ends, strict=False):
-                closes = end > m.end() and _SENTENCE_END.search(chunk, m.end(), end)
-                parts.append(_packed(m[0], _END if closes else 0))
-            value = b"".join(parts)
-        if len(chunk) <= 48:
-            if len(self) >= 300_000:
-                self.clear()
-            self[chunk] = value
-        return value
 
+def _tokens(text: str):
+    """Hash, begin and end of each token of a text, whether it is a capitalised word, and the class bits of all characters.
 
-def _packed(token: str, flags: int) -> bytes:
-    low = token.lower()
-    kind = token_type(low)
-    mark = _KIND_FLAG[kind] if kind else _CAP if _is_name(token, low) else 0
-    return (_number(low) | flags | mark).to_bytes(8, "little")
+    Equal lower-cased tokens have equal hashes. Vectorised over the characters.
+    """
+    points, low = _points(text), _points(_lowered(text))
+    kinds = _classes()[points]
+    group = kinds & np.uint8(_WORD | _DIGIT)
+    joins = np.flatnonzero(kinds & np.uint8(_JOINS))
+    joins = joins[(joins > 0) & (joins < len(group) - 1)]
+    group[joins[(group[joins - 1] == _DIGIT) & (group[joins + 1] == _DIGIT)]] = _DIGIT
+    at = np.flatnonzero(group)
+    if not len(at):
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none, none.astype(bool), kinds
+    # A token begins where the one before is not next to it or of another class.
+    own = group[at]
+    bounds = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])]))
+    starts = at[bounds]
+    lengths = np.diff(bounds, append=len(at))
+    place = (np.arange(len(at)) - np.repeat(bounds, lengths)) & 255
+    value = (low[at] + np.uint64(1)) * _BY_PLACE[place]
+    value = np.add.reduceat(value, bounds) + lengths.astype(np.uint64) * STEP
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xD6E8FEB86659FD93)
+    value ^= value >> np.uint64(32)
+    ends = starts + lengths
+    large = np.flatnonzero(points != low)
+    one = np.searchsorted(large, ends) - np.searchsorted(large, starts) == 1
+    return value, starts, ends, one & (points[starts] != low[starts]) & (lengths > 1), kinds
+
+
+@cache
+def _listed(kind: str) -> np.ndarray:
+    words = sorted(NUMBER_WORDS if kind == "num" else UNITS)
+    return np.sort(np.concatenate([_tokens(w)[0] for w in words]))
+
+
+def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
+def _number(text: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(text.encode()))
+
+
+PLACE_NUMBER = {kind: _number(mark) for kind, mark in PLACE.items()}
 
 
 def _is_name(token: str, low: str) -> bool:
@@ -93,44 +136,59 @@ def token_type(low: str) -> str:
     return "num" if low[0].isdigit() or low in NUMBER_WORDS else "unit" if low in UNITS else ""
 
 
+def _pieces(text: str):
+    """A text in pieces of about PIECE_CHARS, cut before a blank; a word without end stays whole."""
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        cut = text.find(" ", at + PIECE_CHARS)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 class Templates:
     """The canonical tokens of texts: numbers, units and names become placeholders.
 
     A name is a capitalised word that does not start a sentence; a line starts one.
     """
 
-    def __init__(self) -> None:
-        self.known = PackedTokens()
-
     def packed(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each token, of each canonical token, and whether that is a placeholder."""
-        chunks = text.replace("\n", ". ").replace("\t", " ").split(" ")
-        tokens = np.frombuffer(b"".join([self.known[c] for c in chunks]), dtype="<u8")
-        starts = np.ones(len(tokens), dtype=bool)
-        starts[1:] = (tokens[:-1] & np.uint64(_END)) > 0
-        raw = tokens & ~np.uint64(_FLAGS)
-        kinds = {
-            "name": ((tokens & np.uint64(_CAP)) > 0) & ~starts,
-            "num": (tokens & np.uint64(_NUM)) > 0,
-            "unit": (tokens & np.uint64(_UNIT)) > 0,
-        }
-        canonical = raw.copy()
-        for kind, at in kinds.items():
-            canonical[at] = PLACE_NUMBER[kind]
-        return raw, canonical, kinds["name"] | kinds["num"] | kinds["unit"]
+        made, starting = [], True
+        for piece in _pieces(text):
+            if piece:
+                raw, starts, ends, capitalised, kinds = _tokens(piece)
+                enders = np.flatnonzero(kinds & np.uint8(_ENDS))
+                if not len(starts):
+                    starting |= bool(len(enders))
+                    continue
+                # A token starts a sentence if something between it and the last one ends one.
+                before = np.searchsorted(enders, starts)
+                begins = before > np.searchsorted(enders, np.concatenate([[0], ends[:-1]]))
+                begins[0] |= starting
+                starting = bool(len(enders) and enders[-1] >= ends[-1])
+                num = ((kinds[starts] & np.uint8(_FIGURE)) > 0) | _among(raw, _listed("num"))
+                unit = ~num & _among(raw, _listed("unit"))
+                name = capitalised & ~num & ~unit & ~begins
+                canonical = raw.copy()
+                for kind, at in (("name", name), ("num", num), ("unit", unit)):
+                    canonical[at] = PLACE_NUMBER[kind]
+                made.append((raw, canonical, name | num | unit))
+        if not made:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        return made[0] if len(made) == 1 else tuple(np.concatenate(parts) for parts in zip(*made, strict=True))
 
     def words(self, text: str) -> tuple[list[str], list[str]]:
         """Canonical tokens, and those of the text, lower-cased; in step with packed()."""
-        raw, canonical, start = [], [], True
-        for chunk in text.replace("\n", ". ").replace("\t", " ").split(" "):
-            matches = list(_TOKEN.finditer(chunk))
-            for i, m in enumerate(matches):
-                low = m[0].lower()
-                kind = token_type(low) or ("name" if not start and _is_name(m[0], low) else "")
-                raw.append(low)
-                canonical.append(PLACE[kind] if kind else low)
-                after = chunk[m.end() : matches[i + 1].start() if i + 1 < len(matches) else len(chunk)]
-                start = bool(_SENTENCE_END.search(after))
+        raw, canonical, start, last = [], [], True, 0
+        for m in _TOKEN.finditer(text):
+            start = start and not raw or bool(_SENTENCE_END.search(text, last, m.start()))
+            low, last = _lowered(m[0]), m.end()
+            kind = token_type(low) or ("name" if not start and _is_name(m[0], low) else "")
+            raw.append(low)
+            canonical.append(PLACE[kind] if kind else low)
         return canonical, raw
 
     def windows(self, text: str, sizes: list[int], least: int):
