@@ -372,16 +372,16 @@ def _(w):
 
 
 def nested_facts(w):
-    """The flat facts folded into company objects, as JSON text, and parsed again."""
+    """The flat facts folded into objects of a company and year, as JSON text, and parsed again."""
     from filingrisk.schemas import COMPANY_FACTS
 
     entry = F.struct(
         "fy", "fp", "form", F.col("filed").cast("string").alias("filed"), "val"
     )
-    by_tag = w.facts.groupBy("cik", "tag", "unit").agg(
+    by_tag = w.facts.groupBy("cik", "fy", "tag", "unit").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]).alias("es")
     )
-    by_firm = by_tag.groupBy("cik").agg(
+    by_firm = by_tag.groupBy("cik", "fy").agg(
         F.map_from_entries(
             F.collect_list(
                 F.struct("tag", F.struct(F.create_map("unit", "es").alias("units")))

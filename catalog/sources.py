@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.fixtures import with_views
 from catalog.registry import query
-from filingrisk.session import checkpoint_dir
+from filingrisk.session import checkpoint_dir, materialise
 from filingrisk.sources import (
     enforcement,
     facts,
@@ -231,9 +232,10 @@ def _(w):
 
 
 def _filing_arrays(w):
-    """Per firm the event filings as parallel arrays, with annual reports mixed in."""
+    """Per firm and year a block of event filings as parallel arrays, with annual reports mixed in."""
     rows = w.events.select(
         "cik",
+        F.year("filing_date_8k").alias("page"),
         F.struct(
             "accession",
             # A quarter of the rows is another form and must be left out.
@@ -242,9 +244,10 @@ def _filing_arrays(w):
             "items",
         ).alias("e"),
     )
-    listed = rows.groupBy("cik").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    listed = rows.groupBy("cik", "page").agg(F.array_sort(F.collect_list("e")).alias("es"))
     return listed.select(
         "cik",
+        "page",
         *[
             F.col(f"es.{n}").alias(a)
             for a, n in (("form", "form"), ("filingDate", "filingDate"), ("items", "items"), ("accessionNumber", "accession"))
@@ -284,6 +287,40 @@ def _(w):
     return submissions.build_events(main, wanted)
 
 
+@query(
+    "src6_recent_and_further_pages",
+    f"""{with_views('fx_events')} select cik, filing_date_8k, items, accession from fx_events""",
+)
+def _(w):
+    # A firm's newest year in its own file's recent block, all earlier ones in pages named by the firm.
+    newest = Window.partitionBy("cik")
+    arrays = _filing_arrays(w).withColumn("form", F.transform("form", lambda f: F.lit("8-K")))
+    arrays = materialise(arrays.withColumn("recent", F.col("page") == F.max("page").over(newest)))
+    main, pages = scratch(w, "firms"), scratch(w, "pages")
+    names = ("form", "filingDate", "items", "accessionNumber")
+    block = F.struct(F.struct(*names).alias("recent")).alias("filings")
+    record = F.to_json(F.struct(F.col("cik").cast("string").alias("cik"), block))
+    recent = arrays.where("recent").select(record.alias("value"))
+    recent.repartition(8).write.option("maxRecordsPerFile", 1).text(main)
+    # One page file a firm here; several years in it are several objects of its array.
+    older = arrays.where("not recent").groupBy("cik").agg(F.to_json(F.collect_list(F.struct(*names))).alias("value"))
+    folder = F.format_string("CIK%010d-submissions-001", "cik")
+    older.select(folder.alias("page"), "value").repartition(8, "page").write.partitionBy("page").text(pages)
+    return submissions.build_events(submissions.read_submission_arrays(w.spark, main, pages))
+
+
+@query(
+    "src4_quoted_line_breaks",
+    f"""{RAW} select line_no, md5(concat('[', replace(mda, chr(13), ''), chr(10), '"', ']')) as digest from fx_raw""",
+)
+def _(w):
+    path = scratch(w, "texts") + ".csv"
+    text = F.concat(F.lit("["), F.replace("mda", F.lit("\r"), F.lit("")), F.lit('\n"]'))
+    tables.write_table(w.raw_filings.select("line_no", text.alias("mda")), path)
+    read = tables.read_csv(w.spark, path, multi_line=True)
+    return read.select(F.col("line_no").cast("long").alias("line_no"), F.md5("mda").alias("digest"))
+
+
 @query(
     "src11_cache_table",
     """select substr(sha256(text), 1, 32) as text_hash, 0.75e0 as vagueness from documents group by 1""",

@@ -108,7 +108,13 @@ def _(w):
     return w.table("pages").select("page_id", F.md5(cleaned).alias("digest"))
 
 
-@query("txt1_html_entities")
+# The entities that the pages hold, the ampersand last.
+_DECODED = "html"
+for _entity, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+    _DECODED = f"regexp_replace({_DECODED}, '&{_entity};?', '{_char}', 'g')"
+
+
+@query("txt1_html_entities", f"select page_id, {_clean(_DECODED)} as t from pages")
 def _(w):
     return w.table("pages").select("page_id", tx.prepare_text(F.col("html")).alias("t"))
 

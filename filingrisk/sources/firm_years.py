@@ -110,7 +110,7 @@ def add_firm_year_keys(df: DataFrame) -> DataFrame:
 
 
 def firm_years_of(
-    labelled: DataFrame, raw: DataFrame, cik: int, *, text_chars: int | None = None
+    labelled: DataFrame, raw: DataFrame, cik: int, *, text_chars: int | None = None, min_text_chars: int = MIN_TEXT_CHARS
 ) -> DataFrame:
     """One firm's years from the labelled set, else from the raw filings.
 
@@ -118,7 +118,7 @@ def firm_years_of(
     """
     known = labelled.where(F.col("cik") == cik)
     others = tidy_firm_years(
-        raw.where(F.col("cik").try_cast("double").cast("long") == cik), text_chars=text_chars
+        raw.where(F.col("cik").try_cast("double").cast("long") == cik), text_chars=text_chars, min_text_chars=min_text_chars
     ).withColumn("label", F.lit(0))
     fallback = others.join(known.select("cik").distinct(), "cik", "left_anti")
     return known.withColumn("source", F.lit("labelled")).unionByName(

@@ -15,26 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filingrisk.sources.records import PLACE, SPLIT, assemble, placed
+
 LINES, WHOLE = "lines", "whole"
-PLACE = ("_file", "_offset", "_row")
 
 #: How a record begins: a brace and a key. Inside a string its quote would be escaped.
 _HEAD = r'\{\s*"[^"\\]*"\s*:'
 
 
-def _placed(df: DataFrame, *more: str) -> DataFrame:
-    return df.select(
-        "value",
-        *more,
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_offset"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-
-
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines with their place in the input: file, split offset, row in split."""
-    return _placed(spark.read.text(path))
+    return placed(spark.read.text(path))
 
 
 def file_modes(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
@@ -97,7 +88,7 @@ def array_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     damage costs the record that it is in.
     """
     cut = spark.read.option("lineSep", "}").text(paths)
-    text = _placed(cut.withColumn("_size", F.col("_metadata.file_size")), "_size")
+    text = placed(cut.withColumn("_size", F.col("_metadata.file_size")), "_size")
     clean = F.regexp_replace("value", r"(?s)\\.", "")
     outside = lambda c: F.regexp_replace(c, r'"[^"]*("|\z)', "")
     count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
@@ -111,8 +102,7 @@ def array_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("value").rlike(r"^[\s,\[]*\{|[,\[\n]\s*" + _HEAD).alias("shaped"),
         F.col("value").rlike(r"^[\s,\]]*$").alias("closing"),
     )
-    split = ["_file", "_offset"]
-    ordered = Window.partitionBy(*split).orderBy("_row")
+    ordered = Window.partitionBy(*SPLIT).orderBy("_row")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     # In a string or not before each part, for a split that starts outside one (0) or inside (1).
     parts = parts.withColumn("_in", F.coalesce(F.sum("flips").over(earlier), F.lit(0)) % 2)
@@ -125,7 +115,7 @@ def array_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     # One row per split, and from these the state in which each split starts.
     over_last = lambda c: F.max(F.when(F.col("_last"), F.col(c)))
-    sums = parts.groupBy(*split).agg(
+    sums = parts.groupBy(*SPLIT).agg(
         (F.sum("flips") % 2).alias("s_flips"),
         F.sum(F.octet_length("value") + 1).alias("bytes"),
         F.first("_size").alias("size"),
@@ -150,30 +140,12 @@ def array_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ends = F.when(beyond == 0, F.col("final") == 0).when(beyond == 1, tail).otherwise((F.col("final") == 0) | tail)
     sums = sums.withColumn("ends", ends)
     ends_well = F.max("ends").over(all_) & (F.sum("s_flips").over(all_) % 2 == 0)
-    sums = sums.select(*(F.col(c).alias(f"s{c}") for c in split), "state", "start", F.coalesce(good & ends_well, F.lit(False)).alias("sound"))
+    sums = sums.select(*(F.col(c).alias(f"s{c}") for c in SPLIT), "state", "start", F.coalesce(good & ends_well, F.lit(False)).alias("sound"))
 
     known = parts.join(sums, (F.col("_file") == F.col("s_file")) & (F.col("_offset") == F.col("s_offset")))
     depth_before = F.col("start") + either("depth") - either("step")
     begins = F.when(F.col("sound"), depth_before == 0).otherwise(F.col("shaped"))
-    known = known.withColumn("rec", F.last(F.when(begins, F.col("_row")), ignorenulls=True).over(ordered))
-    known = known.withColumn("newest", F.max("rec").over(Window.partitionBy(*split)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", "value"))), lambda p: p["value"]), "}")
-    pieces = known.groupBy(*split, "rec").agg(body.alias("value"), F.first("sound").alias("sound"), F.first("newest").alias("newest"))
-    # All but a split's first and last piece are whole; those may go on in other splits.
-    whole = pieces.where("rec < newest").select("value", "sound", "_file", "_offset", F.col("rec").alias("_row"))
-    loose = pieces.where("rec is null or rec >= newest")
-    keys = loose.select(*split, "rec").withColumn("own", F.when(F.col("rec").isNotNull(), F.struct("_offset", F.col("rec").alias("_row"))))
-    in_order = Window.partitionBy("_file").orderBy("_offset", F.col("rec").asc_nulls_first())
-    keys = keys.withColumn("record", F.last("own", ignorenulls=True).over(in_order))
-    keys = keys.select(F.col("_file").alias("kf"), F.col("_offset").alias("ko"), F.col("rec").alias("kr"), "record")
-    joined = loose.join(keys, (F.col("_file") == F.col("kf")) & (F.col("_offset") == F.col("ko")) & F.col("rec").eqNullSafe(F.col("kr")))
-    ends = F.array_sort(F.collect_list(F.struct("_offset", "rec", "value")))
-    together = joined.groupBy("_file", "record").agg(
-        F.array_join(F.transform(ends, lambda p: p["value"]), "}").alias("value"), F.first("sound").alias("sound")
-    )
-    together = together.select("value", "sound", "_file", F.coalesce("record._offset", F.lit(0)).alias("_offset"), F.coalesce("record._row", F.lit(-1)).alias("_row"))
-
-    found = whole.unionByName(together).withColumn("value", F.regexp_replace(F.concat("value", F.lit("}")), r"^[\s,\[]+", ""))
+    found = assemble(known, begins, "}", "sound").withColumn("value", F.regexp_replace(F.concat("value", F.lit("}")), r"^[\s,\[]+", ""))
     # In a damaged file the last beginning in a text is a record, what stands before it is not.
     parted = rf"(?s)^(.*[,\[\n]\s*|)({_HEAD}.*)$"
     head, record = F.regexp_extract("value", parted, 1), F.regexp_extract("value", parted, 2)

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from filingrisk.functions.numeric import finite
 from filingrisk.policy import CONCEPTS
+from filingrisk.session import materialise
+from filingrisk.sources import json_arrays
+from filingrisk.sources.csv_records import read_quoted_csv
 
 
 def normal_headers(df: DataFrame) -> DataFrame:
@@ -19,11 +22,13 @@ def read_csv(
 ) -> DataFrame:
     """A CSV with a header; every column a string.
 
-    `multi_line` allows line breaks inside quoted fields, but then Spark cannot
-    split a file: keep large text tables in Parquet or in many CSV files.
+    `multi_line` allows line breaks inside quoted fields; files are split then
+    too, at the price of shuffling their lines (see csv_records).
     """
+    if multi_line:
+        return normal_headers(read_quoted_csv(spark, path, sep))
     raw = spark.read.options(
-        header=True, sep=sep, multiLine=multi_line, quote='"', escape='"'
+        header=True, sep=sep, quote='"', escape='"'
     ).csv(path)
     return normal_headers(raw)
 
@@ -63,10 +68,16 @@ def type_dataset(df: DataFrame) -> DataFrame:
 
 
 def read_scoring_rows(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
-    """Firm rows to be scored: as read_dataset, or `.json` files of a list or a single object."""
+    """Firm rows to be scored: as read_dataset, or `.json` files of a list or a single object.
+
+    A list of any size is split into its records, which are stored once: their
+    columns come from all of them.
+    """
     if not path.rstrip("/").lower().endswith(".json"):
         return read_dataset(spark, path, multi_line=multi_line)
-    return normal_headers(spark.read.option("multiLine", True).json(path))
+    texts = materialise(json_arrays.array_records(spark, path).select("value"))
+    as_text = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return normal_headers(DataFrame(spark.read._jreader.json(as_text), spark))
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
