@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,16 +19,18 @@ DEGREE = 24
 STARTS, PART = 4, 256
 #: Rounds of neighbours of neighbours go on until less than this share of the edges changes.
 SETTLED = 0.001
-#: Nodes that a search keeps open at first; doubled until the answers stay the same.
-BEAM = 192
+#: Nodes that a search keeps open at first; doubled for each query until its answers stay the same.
+BEAM = 24
 #: Vectors in one block of the scoring table, about.
 BLOCK = 4096
 
 _EDGES = "src bigint, dst bigint, score float"
+# Half floats are enough to build the graph, single floats rank what a search meets.
+_HALF, _SINGLE = "<f2", "<f4"
 
 
 def prepare(vectors: DataFrame) -> DataFrame:
-    """vec_id, key, unit (single floats) and raw (doubles), packed, of each vector that takes part.
+    """vec_id, key, half and unit (half and single floats) and raw (doubles), packed, of each vector that takes part.
 
     Vectors that are null, zero, or hold a null or a number that is not finite
     take no part, nor do those of another length than the most frequent one
@@ -42,17 +46,18 @@ def prepare(vectors: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 norm = np.linalg.norm(raw / np.abs(raw).max()) if np.isfinite(raw).all() and raw.any() else 0.0
             if norm:
-                unit = (raw / np.abs(raw).max() / norm).astype("<f4")
-                yield vec_id, xxhash.xxh3_128_hexdigest(raw.tobytes()), len(raw), unit.tobytes(), raw.tobytes()
+                unit = raw / np.abs(raw).max() / norm
+                packed = (unit.astype(_HALF).tobytes(), unit.astype(_SINGLE).tobytes(), raw.tobytes())
+                yield vec_id, xxhash.xxh3_128_hexdigest(raw.tobytes()), len(raw), *packed
 
         return produce
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null and embedding is not null")
-    made = materialise(flat_map(rows, make, "vec_id bigint, key string, n bigint, unit binary, raw binary"))
+    made = materialise(flat_map(rows, make, "vec_id bigint, key string, n bigint, half binary, unit binary, raw binary"))
     common = made.groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).first()
     same = made.where(F.col("n") == (common["n"] if common else 0))
     single = same.groupBy(F.col("vec_id").alias("id")).agg(F.min("key").alias("k"))
-    return materialise(same.join(single, (F.col("vec_id") == F.col("id")) & (F.col("key") == F.col("k"))).select("vec_id", "key", "unit", "raw").dropDuplicates(["vec_id"]))
+    return materialise(same.join(single, (F.col("vec_id") == F.col("id")) & (F.col("key") == F.col("k"))).select("vec_id", "key", "half", "unit", "raw").dropDuplicates(["vec_id"]))
 
 
 def _by_group(df: DataFrame, keys: list[str], columns: list[str], handle, ddl: str) -> DataFrame:
@@ -94,9 +99,9 @@ def _by_group(df: DataFrame, keys: list[str], columns: list[str], handle, ddl: s
     return ordered.select(*keys, *columns).mapInArrow(run, ddl)
 
 
-def _units(column: pa.Array) -> np.ndarray:
+def _units(column: pa.Array, kind: str = _SINGLE) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1).astype(np.float32)
 
 
 def _first_edges(nodes: DataFrame, size: int, dimension: int, degree: int, seed: int = 11) -> DataFrame:
@@ -109,20 +114,20 @@ def _first_edges(nodes: DataFrame, size: int, dimension: int, degree: int, seed:
 
     def make():
         def produce(node, unit):
-            vector = np.frombuffer(unit, dtype="<f4")
+            vector = np.frombuffer(unit, dtype=_HALF).astype(np.float32)
             for start in range(STARTS):
                 side = planes[start] @ vector > 0
                 yield start, int((side << np.arange(bits)).sum()), node, unit
 
         return produce
 
-    parts = flat_map(nodes.select("node", "unit"), make, "start bigint, part bigint, node bigint, unit binary")
+    parts = flat_map(nodes.select("node", "half"), make, "start bigint, part bigint, node bigint, unit binary")
     sizes = parts.groupBy(F.col("start").alias("s"), F.col("part").alias("p")).agg(F.ceil(F.count("*") / (2 * PART)).alias("chunks"))
     parts = parts.join(sizes, (F.col("start") == F.col("s")) & (F.col("part") == F.col("p")))
     parts = parts.withColumn("chunk", F.pmod(F.xxhash64("node", "start"), F.col("chunks")))
 
     def nearest(columns):
-        ids, units = columns[0].to_numpy(), _units(columns[1])
+        ids, units = columns[0].to_numpy(), _units(columns[1], _HALF)
         if len(ids) < 2:
             return None
         scores = units @ units.T
@@ -135,11 +140,11 @@ def _first_edges(nodes: DataFrame, size: int, dimension: int, degree: int, seed:
 
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:
-    """The `degree` best edges of each node, with the score of the last as kth."""
-    single = edges.groupBy("src", "dst").agg(F.max("score").alias("score"))
+    """The `degree` best edges of each node; an edge is fresh if it was not there before."""
+    single = edges.groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     ranked = single.withColumn("r", F.row_number().over(order)).where(F.col("r") <= degree)
-    return materialise(ranked.select("src", "dst", "score"))
+    return materialise(ranked.select("src", "dst", "score", "fresh"))
 
 
 def _descend(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
@@ -147,43 +152,48 @@ def _descend(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
 
     Each node's neighbours, in both directions, meet in one group; a node with
     very many is split into several groups, each with its own neighbours again.
+    Two that have met there before, by edges that are not fresh, need not again,
+    and a node without fresh edges is left out.
     """
     kth = edges.groupBy(F.col("src").alias("n")).agg(F.min("score").alias("low"), F.count("*").alias("held"))
     kth = kth.select("n", F.when(F.col("held") >= degree, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("kth"))
     incoming = edges.groupBy(F.col("dst").alias("hub")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (2 * degree))).cast("int").alias("groups"))
     to = edges.join(incoming, F.col("dst") == F.col("hub"))
-    to = to.select(F.col("dst").alias("centre"), F.pmod(F.xxhash64("src"), F.col("groups")).cast("int").alias("grp"), F.col("src").alias("member"))
+    to = to.select(F.col("dst").alias("centre"), F.pmod(F.xxhash64("src"), F.col("groups")).cast("int").alias("grp"), F.col("src").alias("member"), "fresh")
     out = edges.join(incoming, F.col("src") == F.col("hub"), "left").select(
-        F.col("src").alias("centre"), F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("grp"), F.col("dst").alias("member")
+        F.col("src").alias("centre"), F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("grp"), F.col("dst").alias("member"), "fresh"
     )
-    known = nodes.join(kth, F.col("node") == F.col("n"), "left").select("node", "unit", F.coalesce("kth", F.lit(-2.0).cast("float")).alias("kth"))
-    met = to.unionByName(out).distinct().join(known, F.col("member") == F.col("node"))
+    met = to.unionByName(out).groupBy("centre", "grp", "member").agg(F.max("fresh").alias("fresh"))
+    moved = met.where("fresh").select(F.col("centre").alias("m_centre"), F.col("grp").alias("m_grp")).distinct()
+    met = met.join(moved, (F.col("centre") == F.col("m_centre")) & (F.col("grp") == F.col("m_grp")), "left_semi")
+    known = nodes.join(kth, F.col("node") == F.col("n"), "left").select("node", "half", F.coalesce("kth", F.lit(-2.0).cast("float")).alias("kth"))
+    met = met.join(known, F.col("member") == F.col("node"))
 
     def improve(columns):
-        ids, units, lows = columns[0].to_numpy(), _units(columns[1]), columns[2].to_numpy()
+        ids, units, lows = columns[0].to_numpy(), _units(columns[1], _HALF), columns[2].to_numpy()
+        fresh = columns[3].to_numpy(zero_copy_only=False)
         scores = units @ units.T
         np.fill_diagonal(scores, -3)
-        i, j = np.nonzero(scores > lows[:, None])
+        i, j = np.nonzero((scores > lows[:, None]) & (fresh[:, None] | fresh))
         return (ids[i], ids[j], scores[i, j]) if len(i) else None
 
-    return _by_group(met, ["centre", "grp"], ["node", "unit", "kth"], improve, _EDGES)
+    return _by_group(met, ["centre", "grp"], ["node", "half", "kth", "fresh"], improve, _EDGES)
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
-    """src, dst, score: about the `degree` nearest others of each node (node, unit)."""
+    """src, dst, score: about the `degree` nearest others of each node (node, half)."""
     size = nodes.count()
-    first = nodes.select("unit").first()
-    dimension = len(first["unit"]) // 4 if first else 1
-    edges = _best(_first_edges(nodes, size, dimension, degree), degree)
+    first = nodes.select("half").first()
+    dimension = len(first["half"]) // 2 if first else 1
+    edges = _best(_first_edges(nodes, size, dimension, degree).withColumn("fresh", F.lit(True)), degree)
     # Lists only get better, so this ends.
     while size > 1:
-        better = _best(edges.unionByName(_descend(edges, nodes, degree)), degree)
-        old = edges.select(F.col("src").alias("s"), F.col("dst").alias("d"))
-        stay = better.join(old, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "left_semi").count()
-        settled = stay >= (1 - SETTLED) * better.count()
+        old = edges.withColumn("fresh", F.lit(False))
+        better = _best(old.unionByName(_descend(edges, nodes, degree).withColumn("fresh", F.lit(True))), degree)
+        changed = better.where("fresh").count()
         discard(edges)
         edges = better
-        if settled:
+        if changed <= SETTLED * better.count():
             break
     return edges
 
@@ -246,34 +256,45 @@ def _ranked(pool: DataFrame, k: int) -> DataFrame:
 
 
 def search_graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """(q, node, score, r, kth): the nodes met for each query node q, itself apart, ranked.
+    """(q, node, score): the k best nodes found for each query node q, itself apart, and what single floats cannot tell from the last.
 
     Greedy search from the query's own place in the graph: each round opens the
     neighbours, in both directions, of those nodes not yet opened that are among
-    the best `beam`. When none is left, the beam is doubled, until that changes
-    none of the k best.
+    the best `beam`. When none is left, the beam is doubled; a query whose k best
+    do not change by that is done, the others go on.
     """
     ways = materialise(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     blocks = max(1, nodes.count() // BLOCK)
+    first = nodes.select("unit").first()
+    near = slack(len(first["unit"]) // 4 if first else 1)
     pairs = queries.join(ways, F.col("q") == F.col("src")).select("q", F.col("dst").alias("node"))
     pool = materialise(_ranked(_score(pairs, nodes, blocks).withColumn("done", F.lit(False)), k))
-    answers = None
+    answers, found = None, []
     while True:
         front = pool.where((F.col("r") <= beam) & ~F.col("done")).select("q", "node")
-        if front.isEmpty():
-            best = materialise(pool.where(F.col("r") <= k).select("q", "node"))
-            if answers is not None and best.exceptAll(answers).isEmpty() or pool.where("not done").isEmpty():
-                return pool.select("q", "node", "score", "r", "kth")
-            answers, beam = best, 2 * beam
+        if not front.isEmpty():
+            met = front.join(ways, F.col("node") == F.col("src")).where("q <> dst").select("q", F.col("dst").alias("node")).distinct()
+            seen = pool.select(F.col("q").alias("sq"), F.col("node").alias("sn"))
+            fresh = met.join(seen, (F.col("q") == F.col("sq")) & (F.col("node") == F.col("sn")), "left_anti")
+            scored = _score(fresh, nodes, blocks).withColumn("done", F.lit(False))
+            old = pool.select("q", "node", "score", (F.col("done") | (F.col("r") <= beam)).alias("done"))
+            grown = materialise(_ranked(old.unionByName(scored), k))
+            discard(pool)
+            pool = grown
             continue
-        met = front.join(ways, F.col("node") == F.col("src")).where("q <> dst").select("q", F.col("dst").alias("node")).distinct()
-        seen = pool.select(F.col("q").alias("sq"), F.col("node").alias("sn"))
-        fresh = met.join(seen, (F.col("q") == F.col("sq")) & (F.col("node") == F.col("sn")), "left_anti")
-        scored = _score(fresh, nodes, blocks).withColumn("done", F.lit(False))
-        old = pool.select("q", "node", "score", (F.col("done") | (F.col("r") <= beam)).alias("done"))
-        grown = materialise(_ranked(old.unionByName(scored), k))
+        best = pool.where(F.col("r") <= k).select("q", "node")
+        close = pool.where((F.col("r") <= k) | (F.col("score") >= F.col("kth") - near)).select("q", "node", "score")
+        going = pool.where("not done").select("q").distinct()
+        if answers is not None:
+            going = going.intersect(best.exceptAll(answers).select("q"))
+        going = materialise(going.withColumnRenamed("q", "gq"))
+        found.append(materialise(close.join(going, F.col("q") == F.col("gq"), "left_anti")))
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        left = materialise(pool.join(going, F.col("q") == F.col("gq"), "left_semi"))
+        answers = materialise(left.where(F.col("r") <= k).select("q", "node"))
         discard(pool)
-        pool = grown
+        pool, beam = left, 2 * beam
 
 
 def nearest(vectors: DataFrame, asks, k: int = 5, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
@@ -292,17 +313,15 @@ def nearest(vectors: DataFrame, asks, k: int = 5, degree: int = DEGREE, beam: in
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     members = materialise(few.groupBy("key").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("members")))
     by_node = members.select(F.col("node").alias("m_node"), "members")
-    nodes = materialise(rows.join(by_node, F.col("vec_id") == F.col("m_node")).select(F.col("vec_id").alias("node"), "unit", "raw"))
-    edges = build_graph(nodes.select("node", "unit"), degree)
+    nodes = materialise(rows.join(by_node, F.col("vec_id") == F.col("m_node")).select(F.col("vec_id").alias("node"), "half", "unit", "raw"))
+    edges = build_graph(nodes.select("node", "half"), degree)
 
     keys = members.select(F.col("key").alias("m_key"), "node")
     asking = materialise(rows.where(asks).select("vec_id", "key").join(keys, F.col("key") == F.col("m_key")).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")))
     found = search_graph(asking.select("q").distinct(), nodes.select("node", "unit"), edges, k, beam)
 
     # Doubles decide among all that single floats cannot tell from the k-th.
-    first = nodes.select("unit").first()
-    near = slack(len(first["unit"]) // 4 if first else 1)
-    close = found.where((F.col("r") <= k) | (F.col("score") >= F.col("kth") - near)).select("q", "node")
+    close = found.select("q", "node")
     close = close.unionByName(asking.select("q", F.col("q").alias("node")).distinct())
     raw = nodes.select(F.col("node").alias("n"), "raw")
     close = close.join(raw, F.col("node") == F.col("n")).drop("n").join(raw.select(F.col("n").alias("qn"), F.col("raw").alias("q_raw")), F.col("q") == F.col("qn"))
