@@ -16,7 +16,7 @@ from filingrisk.session import discard, materialise
 #: Neighbours kept per node of the graph.
 DEGREE = 24
 #: Random hyperplane partitions from which the graph starts, and nodes in a part, about.
-STARTS, PART = 4, 256
+STARTS, PART = 4, 1024
 #: Rounds of neighbours of neighbours go on until less than this share of the edges changes.
 SETTLED = 0.001
 #: Nodes that a search keeps open at first; doubled for each query until its answers stay the same.
@@ -109,7 +109,9 @@ def _first_edges(nodes: DataFrame, size: int, dimension: int, degree: int, seed:
 
     A part that holds far more than its share, such as copies, is dealt by hash.
     """
-    bits = max(0, int(np.ceil(np.log2(max(1, size) / PART))))
+    # Up to eight parts also where all nodes would fit one, so that the descent has work at any size.
+    few = int(np.log2(max(1, size / (2 * degree))))
+    bits = max(min(3, few), int(np.ceil(np.log2(max(1, size) / PART))))
     planes = np.random.default_rng(seed).standard_normal((STARTS, bits, dimension)).astype(np.float32)
 
     def make():
