@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
-from zipfile import ZipFile
 
 import numpy as np
 import pyarrow as pa
@@ -14,29 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from filingrisk.session import configure
+from filingrisk.session import configure, ship_package  # noqa: F401
 
 #: Rows in one Arrow batch; keeps a batch of very long texts within a worker's memory.
 BATCH_ROWS = 512
 #: Bytes in one Arrow batch, into a worker and out of it, about.
 BATCH_BYTES = 4 << 20
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's code to the Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="filingrisk-code-")) / "filingrisk.zip"
-    with ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
 
 def prepare_session(spark: SparkSession) -> None:
     """Runtime options that the operators rely on."""
