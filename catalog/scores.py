@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.evaluation import bundle_sql, rounded
 from catalog.fixtures import with_views
 from catalog.registry import query
-from catalog.sources import scratch
+from catalog.sources import scratch, spread
 from filingrisk import policy
 from filingrisk.operators import evaluation, panel, scoring
 from filingrisk.plans import jobs
@@ -256,6 +256,6 @@ def _(w):
     single = F.col("cik") % 100 == 1
     lists = rows.where(~single).groupBy(F.floor(F.col("cik") / 20)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
     for part in (lists.select("value"), rows.where(single).select(F.col("j").alias("value"))):
-        part.coalesce(4).write.option("maxRecordsPerFile", 1).mode("append").text(path)
+        spread(part).write.option("maxRecordsPerFile", 1).mode("append").text(path)
     out = jobs.read_scoring_input(w.spark, path)
     return out.select("doc_id", "cik", "fyear", "name", F.col("sic").cast("int").alias("sic"), F.col("total_assets").cast("long").alias("total_assets"), "label")
