@@ -151,7 +151,7 @@ def _(w):
     text = F.concat(F.lit("["), F.element_at("j", 1), F.lit(',\n{"cik": 3, "mda": "cut,\n'), F.array_join(F.slice("j", 2, 100), ",\n"), F.lit("]"))
     alone = F.concat(F.lit("["), F.element_at("j", 1), F.lit(',\n{"cik": 3, "mda": "cut]'))
     rows = arrays.select(F.when(F.size("j") > 1, text).otherwise(alone).alias("value"))
-    rows.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    spread(rows).write.option("maxRecordsPerFile", 1).text(path)
     read = firm_years.firm_year_records(w.spark, path)
     return read.groupBy(F.md5("mda").alias("digest"), "cik", "reporting_date", "parsed").agg(F.count("*").alias("n"))
 

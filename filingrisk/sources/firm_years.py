@@ -48,10 +48,12 @@ def firm_year_records(spark: SparkSession, path: str, *, contains: str | None =
     """
     modes = json_arrays.file_modes(spark, path)
     made = []
+    # Files are named one by one only where both kinds stand together: listing many by name is slow.
+    named = modes if all(modes.values()) else dict.fromkeys(modes, path)
     if modes[json_arrays.LINES] or not modes[json_arrays.WHOLE]:
-        made.append(parse_lines(json_arrays.read_lines(spark, modes[json_arrays.LINES] or path), contains))
+        made.append(parse_lines(json_arrays.read_lines(spark, named[json_arrays.LINES]), contains))
     if modes[json_arrays.WHOLE]:
-        made.append(parse_lines(json_arrays.array_records(spark, modes[json_arrays.WHOLE]), contains))
+        made.append(parse_lines(json_arrays.array_records(spark, named[json_arrays.WHOLE]), contains))
     return reduce(DataFrame.unionByName, made)
 
 

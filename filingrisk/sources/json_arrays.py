@@ -19,6 +19,9 @@ from filingrisk.sources.records import PLACE, SPLIT, assemble, placed
 
 LINES, WHOLE = "lines", "whole"
 
+#: Bytes up to which files share tasks when their heads are read.
+SMALL_FILE = 4 << 20
+
 #: How a record begins: a brace and a key. Inside a string its quote would be escaped.
 _HEAD = r'\{\s*"[^"\\]*"\s*:'
 
@@ -33,26 +36,35 @@ def file_modes(spark: SparkSession, path: str | list[str]) -> dict[str, list[str
 
     The first two lines that are not blank decide: `[` and something else on the
     first, or a bare `{` as the first or behind a first `[`, make a whole array.
-    A task stops reading at the second line. One row per file comes back.
+    Of a file larger than SMALL_FILE a task stops reading at the second line;
+    smaller ones are read through, many by one task. One row per file comes back.
     """
 
-    def heads(batches):
+    def heads(batches, alone):
         seen: dict[str, list[str]] = {}
         for batch in batches:
             for value, file, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if offset:
-                    return
+                    if alone:
+                        return
+                    continue
                 lines = seen.setdefault(file, [])
                 if len(lines) < 2 and value:
                     lines.append(value)
-            if len(seen) == 1 and len(lines) == 2:
+            if alone and len(seen) == 1 and len(lines) == 2:
                 break
         if seen:
             files = list(seen)
             firsts, seconds = ([(seen[f] + ["", ""])[i] for f in files] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(files), pa.array(firsts), pa.array(seconds)], names=["file", "one", "two"])
 
-    # Each file in tasks of its own, so that none has to be read for the next one's sake.
+    def read(chosen, alone):
+        lines = spark.read.text(path).where(chosen).select(F.substring(F.trim("value"), 1, 64), "_metadata.file_path", "_metadata.file_block_start")
+        return lines.mapInArrow(lambda batches: heads(batches, alone), "file string, one string, two string").collect()
+
+    size = F.col("_metadata.file_size")
+    rows = read(size <= SMALL_FILE, False)
+    # Each large file in tasks of its own, so that none has to be read for the next one's sake.
     changed = {
         "spark.sql.files.openCostInBytes": spark.conf.get("spark.sql.files.maxPartitionBytes"),
         "spark.sql.execution.arrow.maxRecordsPerBatch": "8",
@@ -61,8 +73,7 @@ def file_modes(spark: SparkSession, path: str | list[str]) -> dict[str, list[str
     for key, value in changed.items():
         spark.conf.set(key, value)
     try:
-        lines = spark.read.text(path).select(F.substring(F.trim("value"), 1, 64), "_metadata.file_path", "_metadata.file_block_start")
-        rows = lines.mapInArrow(heads, "file string, one string, two string").collect()
+        rows += read(size > SMALL_FILE, True)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
