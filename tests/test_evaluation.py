@@ -196,3 +196,44 @@ def test_rows_without_score_are_left_out(spark):
     assert [r["n"] for r in evaluation.reliability_table(df).collect()] == [1, 1]
     bundle, own = evaluation.metric_bundle(df).first(), evaluation.brier_skill(df).first()
     assert own["brier_skill"] == pytest.approx(bundle["brier_skill"])
+
+
+def test_draws_by_hash_equal_hashlib():
+    from hashlib import md5
+
+    from filingrisk.functions.digests import numbered_units, units
+
+    def plain(message):
+        return int.from_bytes(md5(message).digest()[:6], "big") / 2.0**48
+
+    assert np.concatenate([*numbered_units(b"42|7|", 95, 1005)]).tolist() == [plain(b"42|7|%d" % i) for i in range(95, 1005)]
+    for length in (0, 1, 55, 56, 80):
+        messages = np.random.default_rng(length).integers(0, 256, (9, length)).astype(np.uint8)
+        assert units(messages).tolist() == [plain(m.tobytes()) for m in messages]
+
+
+def test_draws_are_dealt_by_their_number(spark, monkeypatch):
+    """Draws of a replicate spread over tasks however few bytes name them; hits are numbered as one array."""
+    firms = spark.range(5000).select(F.lit("k").alias("_key"), F.col("id").alias("cik"), F.lit(1).cast("long").alias("rows"))
+    monkeypatch.setattr(bootstrap, "DRAW_RANGE", 2000)
+    hits = bootstrap._draws(bootstrap._numbered(firms, "cik"), 8, 3)
+    assert hits.withColumn("t", F.spark_partition_id()).select("t").distinct().count() >= 8
+    assert hits.groupBy("rep").agg(F.sum(F.length("hits")).alias("n")).where("n = 10000").count() == 8
+
+
+def test_bootstrap_of_one_hot_firm_in_slices(spark, monkeypatch):
+    """A firm with most rows is dealt to several tasks; draws, rows of a chunk and sums stay the same."""
+    rng = np.random.default_rng(5)
+    y, p = (rng.random(400) < 0.4).astype(int), np.round(rng.random(400), 2)
+    ciks = [0 if i % 4 else i for i in range(400)]
+    df = scored(spark, y, p, ciks)
+    whole = {m: bootstrap.replicate_metrics(df, n_boot=12, method=m).orderBy("rep").collect() for m in ("multinomial", "poisson")}
+    monkeypatch.setattr(bootstrap, "SLICE_ROWS", 16)
+    monkeypatch.setattr(bootstrap, "FIRM_CHUNK", 32)
+    for method, rows in whole.items():
+        again = bootstrap.replicate_metrics(df, n_boot=12, method=method).orderBy("rep").collect()
+        weights = bootstrap.draw_weights(df, "cik", n_boot=12, seed=42, method=method).collect()
+        for one, other in zip(rows, again, strict=True):
+            assert one["n"] == other["n"] and one["roc_auc"] == pytest.approx(other["roc_auc"])
+            times = {r["cik"]: r["w"] for r in weights if r["rep"] == one["rep"]}
+            assert one["n"] == sum(times.get(c, 0) for c in ciks)
