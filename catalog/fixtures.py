@@ -19,18 +19,17 @@ MIN_FYEAR = 1996
 HORIZON = 12
 MARKING = {"trust_legacy_regime": False, "switch": SWITCH, "table": ITEM_CODES}
 
-FIRM_YEARS = """
+_LINES = """
 with li as (
   select o_custkey, cast(year(o_orderdate) as int) as fyear, l_returnflag as rf, l_linestatus as ls,
          l_quantity as q, l_discount as dc, l_tax as tx, cast(round(l_extendedprice*100) as bigint) as c
   from {orders} join {lineitem} on l_orderkey = o_orderkey)
-select o_custkey as cik, fyear, max(c_name) as name,
-  case max(c_mktsegment) when 'AUTOMOBILE' then 3711 when 'BUILDING' then 1520
-    when 'FURNITURE' then 2510 when 'HOUSEHOLD' then 2840 else 351 end as sic,
-  make_date(fyear,12,31) as reporting_date,
+"""
+_KEYS = """  make_date(fyear,12,31) as reporting_date,
   case when o_custkey % 50 = 0 then null else make_date(fyear+1,3,31) end as filing_date,
   concat(cast(o_custkey as string),'_',cast(fyear as string),'-12-31') as doc_id,
-  cast(sum(c) as bigint) as total_assets,
+"""
+_AMOUNTS = """  cast(sum(c) as bigint) as total_assets,
   cast(sum(case when rf<>'R' then c end) as bigint) as total_liabilities,
   cast(sum(case when ls='O' then c end) as bigint) as current_assets,
   cast(sum(case when rf='A' then c end) as bigint) as current_liabilities,
@@ -44,7 +43,22 @@ select o_custkey as cik, fyear, max(c_name) as name,
   cast(sum(case when tx<0.02 then c end) as bigint) as retained_earnings,
   cast(sum(case when ls='O' and rf='N' then c end) as bigint) as inventory,
   cast(sum(case when ls='O' and rf='A' then c end) as bigint) as receivables
-from li join {customer} on c_custkey = o_custkey group by o_custkey, fyear
+"""
+_SIC = "when 'AUTOMOBILE' then 3711 when 'BUILDING' then 1520\n    when 'FURNITURE' then 2510 when 'HOUSEHOLD' then 2840 else 351 end"
+FIRM_YEARS = f"""{_LINES}select o_custkey as cik, fyear, max(c_name) as name,
+  case max(c_mktsegment) {_SIC} as sic,
+{_KEYS}{_AMOUNTS}from li join {{customer}} on c_custkey = o_custkey group by o_custkey, fyear
+"""
+
+# The same rows for Spark: a text in a grouping makes it sort all lines, so the firms' texts are joined to their sums.
+# A firm that comes several times in the customers counts as often.
+_NAMES = [line.rsplit(" as ", 1)[1].strip(" ,") for line in _AMOUNTS.strip().splitlines()]
+FIRM_YEARS_BY_SUMS = f"""{_LINES.rstrip()},
+sums as (select o_custkey, fyear, {_AMOUNTS}from li group by o_custkey, fyear),
+firms as (select c_custkey, max(c_name) as c_name, max(c_mktsegment) as c_mktsegment, count(*) as copies from {{customer}} group by c_custkey)
+select o_custkey as cik, fyear, c_name as name, case c_mktsegment {_SIC} as sic,
+{_KEYS}{', '.join(f'{n} * copies as {n}' for n in _NAMES)}
+from sums join firms on c_custkey = o_custkey
 """
 
 EVENTS = """
@@ -111,6 +125,7 @@ _TEXTS = {
     "fx_raw": RAW_FILINGS,
     "fx_facts": FACTS,
 }
+_SPARK_TEXTS = _TEXTS | {"fx_firm_year": FIRM_YEARS_BY_SUMS}
 
 
 def with_views(*names: str) -> str:
@@ -130,7 +145,7 @@ class World:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _view(self, name: str) -> DataFrame:
-        text = _TEXTS[name]
+        text = _SPARK_TEXTS[name]
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 

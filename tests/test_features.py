@@ -192,3 +192,24 @@ def test_ids_come_from_content(spark):
     df = spark.createDataFrame([(None, 1, "a"), (None, 1, "b"), (5, 2000, "c")], "cik long, fyear int, name string").withColumn("label", F.lit(0))
     first, again = ({r["name"]: r["doc_id"] for r in resolve_roles(df.repartition(n))[0].collect()} for n in (1, 3))
     assert first == again and len(set(first.values())) == 3 and first["c"] == "5_2000"
+
+
+def test_firm_years_join_names_after_sums(spark, tmp_path):
+    """Firm-years equal their SQL, also for repeated and null keys, without a sort of all lines for the names."""
+    from catalog.fixtures import FIRM_YEARS, World
+
+    stamp = "timestamp '1996-03-04 00:00:00'"
+    spark.sql("select * from values (1L,'b','BUILDING'),(1L,'a','X'),(2L,null,null),(3L,'c','FURNITURE'),(null,'n','BUILDING') t(c_custkey,c_name,c_mktsegment)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql(f"select * from values (10L,1L,{stamp}),(11L,1L,{stamp}),(12L,2L,null),(13L,3L,{stamp}),(13L,3L,{stamp}),(14L,null,{stamp}),(15L,9L,{stamp}) t(o_orderkey,o_custkey,o_orderdate)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(
+        "select 10 + id % 6 as l_orderkey, if(id % 5 = 0, null, double(id)) as l_quantity, id * 1.25D as l_extendedprice, if(id % 7 = 0, null, (id % 11) / 100D) as l_discount,"
+        " (id % 9) / 100D as l_tax, substr('RAN', 1 + int(id % 3), 1) as l_returnflag, substr('OF', 1 + int(id % 2), 1) as l_linestatus from range(60)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    w = World(spark, str(tmp_path))
+    names = {t: w.table(t) for t in ("customer", "orders", "lineitem")}
+    want = spark.sql(FIRM_YEARS, **names)
+    assert w.firm_years.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, w.firm_years.collect())) == sorted(map(repr, want.collect())) and want.count() == 3
+    plan = w.firm_years._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "SortAggregate" in line]
+    assert not any("o_custkey" in line for line in lines)
